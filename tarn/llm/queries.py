@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tarn.llm.near_dedup import OP3_SQL, op3_near_dedup
 from tarn.llm.quality import op1_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_near_dedup": op3_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
 }
 SQL: dict[str, str] = {
+    "op3_near_dedup": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
