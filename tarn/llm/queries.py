@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarn.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tarn.llm.near_dedup import OP3_SQL, op3_near_dedup
 from tarn.llm.quality import op1_quality_rules
+from tarn.llm.token_files import op9_token_ids
 from tarn.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_token_ids": op9_token_ids,
 }
 SQL: dict[str, str] = {
     "op3_near_dedup": OP3_SQL,
