@@ -1,0 +1 @@
+"""The reference processes no streams, so nothing lives here; batch operators work on any DataFrame."""
