@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tarn.llm.near_dedup import OP3_SQL, op3_near_dedup
+from tarn.llm.pieces import op2_sentencepiece
 from tarn.llm.quality import op1_quality_rules
 from tarn.llm.token_files import op9_token_ids
 from tarn.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_near_dedup": op3_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
