@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tarn.llm.mixing import op10_mixing
 from tarn.llm.near_dedup import OP3_SQL, op3_near_dedup
 from tarn.llm.pieces import op2_sentencepiece
 from tarn.llm.quality import op1_quality_rules
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_token_ids": op9_token_ids,
+    "op10_mixing": op10_mixing,
 }
 SQL: dict[str, str] = {
     "op3_near_dedup": OP3_SQL,
