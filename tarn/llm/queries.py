@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tarn.llm.lm import op8_lm_scores
 from tarn.llm.mixing import op10_mixing
 from tarn.llm.near_dedup import OP3_SQL, op3_near_dedup
 from tarn.llm.pieces import op2_sentencepiece
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_lm_scores": op8_lm_scores,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
 }
