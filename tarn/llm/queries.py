@@ -14,6 +14,7 @@ from tarn.llm.pieces import op2_sentencepiece
 from tarn.llm.quality import op1_quality_rules
 from tarn.llm.token_files import op9_token_ids
 from tarn.llm.toxicity import op4_toxicity
+from tarn.llm.warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_warc": op7_warc,
     "op8_lm_scores": op8_lm_scores,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
@@ -28,4 +30,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op3_near_dedup": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op7_warc": OP7_SQL,
 }
