@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarn.llm.chat import OP5_SQL, op5_chat_format
 from tarn.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tarn.llm.lm import op8_lm_scores
 from tarn.llm.mixing import op10_mixing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_near_dedup": op3_near_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_chat_format": op5_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_warc": op7_warc,
     "op8_lm_scores": op8_lm_scores,
@@ -29,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op3_near_dedup": OP3_SQL,
+    "op5_chat_format": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_warc": OP7_SQL,
 }
