@@ -5,8 +5,9 @@ set takes a random permutation of the signature's places, and its k-th place get
 k and k + 1; each place of the signature keeps the least value it is given, so an element's ranks
 are correlated and signatures vary less than with independent hash functions. A set stops drawing
 once every place has a value that later draws can't undercut. Signatures are cut into bands;
-sets that share a band are candidates; candidates whose one-bit sketches or sizes rule out the
-threshold go; the rest are compared on their full sets, and links are grouped by union-find.
+sets that share a band are candidates; candidates whose one-bit sketches, sizes or elements of
+their own rule out the threshold go; the rest are compared on their full sets, and links are
+grouped by union-find.
 
 Groups of thousands that share a band are not expanded into pairs. In a few rounds each set is
 compared with the pivots of its bands only (a pivot is drawn anew for each round) and linked sets
@@ -41,7 +42,7 @@ BANDS, ROWS = 25, 5
 PLACES = BANDS * ROWS
 #: Most of the PLACES one-bit values of two sketches that may differ: 6.3 standard deviations beyond the mean at 0.85.
 SKETCH_MOST = 28
-ROUNDS = 3
+ROUNDS = 5
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -142,10 +143,15 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.ListArray.from_arrays(pa.array(edges), pa.array(found.view(np.int64)))], ["id", "elements"])
 
 
-def _may_link(least: int, *, a: str = "a_", b: str = "b_") -> Column:
-    """By sizes and sketches, the similarity can be least percent."""
+def _may_link(least: int, a: str = "a_", b: str = "b_") -> Column:
+    """By sizes, elements of their own and sketches, the similarity can be least percent.
+
+    An element that no other set holds (own counts them) can't be common, so two sets have at most
+    the lesser of n - own in common.
+    """
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (100 * F.least(n, m) >= least * F.greatest(n, m)) & (_differ(a, b) <= SKETCH_MOST)
+    most = F.least(n - F.col(f"{a}own"), m - F.col(f"{b}own"))
+    return (100 * most >= least * (n + m - most)) & (_differ(a, b) <= SKETCH_MOST)
 
 
 def _differ(a: str = "a_", b: str = "b_") -> Column:
@@ -184,17 +190,21 @@ def near_dedup(docs: DataFrame, least: int = 85, size: int = 5, id_col: str = "d
     members = saved(banded.join(shared, "key", "left_semi"), "members")
     ids = members.select(F.col("id")).distinct()
     sets = saved(texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").mapInArrow(partial(_sets, size=size), "id long, elements array<long>").distinct(), "elements")
+    single = sets.select("id", F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("count"), F.min("id").alias("id")).where("count = 1")
+    own = single.groupBy("id").agg(F.count("*").alias("own"))
+    members = saved(members.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))), "members")
     labels = ids.select("id", F.col("id").alias("comp"))
     for t in range(ROUNDS):
-        rows = members.join(labels, "id") if t else members.withColumn("comp", F.col("id"))
-        rows = saved(rows, "rows")
-        pivot = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(t)).alias("draw"), "id", "n", "s1", "s2", "comp")).alias("p"))
-        pivot = pivot.select("key", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("id", "n", "s1", "s2", "comp")))
+        rows = saved(members.join(labels, "id"), "rows") if t else members.withColumn("comp", F.col("id"))
+        # any of the sets with the fewest elements of their own, which others are most likely to be near
+        rank = F.floor(20 * F.col("own") / F.col("n"))
+        pivot = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.xxhash64("id", F.lit(t)).alias("draw"), "id", "n", "own", "s1", "s2", "comp")).alias("p"))
+        pivot = pivot.select("key", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("id", "n", "own", "s1", "s2", "comp")))
         met = _prefixed(rows, "a_", "key").join(pivot, "key").where((F.col("a_comp") != F.col("b_comp")) & _may_link(least))
         best = met.groupBy("a_id").agg(F.min(F.struct(_differ().alias("differ"), F.col("b_id").alias("b"), F.col("a_comp").alias("ca"), F.col("b_comp").alias("cb"))).alias("m"))
         links = saved(_links(best.select(F.col("a_id").alias("a"), "m.b", "m.ca", "m.cb"), sets, least), "found")
         labels = _merged(labels, links)
-    labels = _merged(labels, _rest(members, labels, sets, least))
+    labels = _merged(labels, _rest(members, reps, labels, sets, least))
     labels = _same_ids(full, reps, labels)
     groups = reps.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("comp", "id").alias("component_id"))
     linked = full.select("doc_id", "n_shingles", "d1", "d2").join(groups.hint("merge"), ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
@@ -211,20 +221,27 @@ def _same_ids(full: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     return _merged(labels, named.join(named.groupBy("doc_id").agg(F.min("comp").alias("ca")), "doc_id").select("ca", F.col("comp").alias("cb")))
 
 
-def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def _rest(members: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Links between sets that share a band but not yet a component."""
     rows = members.join(labels, "id")
     sizes = labels.groupBy("comp").agg(F.count("*").alias("count"))
     rows = saved(rows.join(sizes, "comp"), "rows")
     split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("count", "comp")).alias("m")).where("lo <> hi").select("key", F.col("m.comp").alias("major"))
-    open_ = saved(rows.join(split, "key"), "open")
+    before = F.expr("slice(bands, 1, CAST(array_position(bands, key) AS INT) - 1)")
+    open_ = saved(rows.join(split, "key").join(reps.select("id", "bands"), "id").withColumn("before", before).drop("bands"), "open")
     a, b = _prefixed(open_.where("comp <> major"), "a_", "key"), _prefixed(open_, "b_", "key")
-    once = (F.col("b_comp") == F.col("b_major")) | (F.col("a_id") < F.col("b_id"))
+    once = ((F.col("b_comp") == F.col("b_major")) | (F.col("a_id") < F.col("b_id"))) & ~F.arrays_overlap("a_before", "b_before")  # in the first band that they share
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a_comp") != F.col("b_comp")) & once & _may_link(least))
     pairs = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_comp").alias("ca"), F.col("b_comp").alias("cb")).distinct()
     return saved(_links(pairs, sets, least), "found")
 
 
+def without_near_copies(docs: DataFrame, least: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with all their columns; rows without id are."""
+    gone = near_dedup(docs, least, size, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
