@@ -1,4 +1,5 @@
 import hashlib
+import inspect
 import random
 
 import numpy as np
@@ -35,11 +36,6 @@ def test_matches_brute_force(spark):
 
 
 def test_colliding_keys_are_told_apart(spark, monkeypatch):
-    def collide(data, starts, ends):
-        return np.zeros(len(starts), np.uint64)
-
-    import inspect
-
     source = inspect.getsource(E._recipes).replace("W.span_hashes(data, starts, ends)", "np.zeros(len(starts), np.uint64)")
     scope = dict(vars(E))
     exec(source, scope)

@@ -1,9 +1,10 @@
 import os
 
 import corpus_pipeline as P
+import numpy as np
 import pytest
 
-from tarn.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
+from tarn.llm import exact_dedup, near_dedup, pieces, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +32,7 @@ def test_each_stage_takes_effect_on_what_the_one_before_kept(spark, tmp_path):
             library = pieces.load(pieces.default_path())
             texts = {r["doc_id"]: r["text"] for r in docs.collect()}
             for r in out.collect():
-                assert library.decode(__import__("numpy").array(r["ids"], int), [len(r["ids"])])[0].decode() == texts[r["doc_id"]]
+                assert library.decode(np.array(r["ids"], int), [len(r["ids"])])[0].decode() == texts[r["doc_id"]]
         if name == "mixing":
             known = labels.join(docs, "doc_id").where("quality = 1")
             assert known.join(out, "doc_id", "left_semi").count() >= 0.97 * known.count()
