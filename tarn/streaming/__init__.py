@@ -1 +1 @@
-"""The reference processes no streams, so nothing lives here; batch operators work on any DataFrame."""
+"""Nothing here: there are no streaming operators to match, and the batch ones work on any DataFrame."""
