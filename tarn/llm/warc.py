@@ -10,8 +10,9 @@ and their declared lengths alone, and makes up what WARC has and ARC has not: re
 UUIDs of URL, date and digest, so a conversion repeated gives the same), W3C timestamps, record types, and
 digests of block and payload. Of records with equal payloads one is a response, the others revisit it.
 
-Files are written by Spark's text writer, whose line separator is the format's own record end, and read by its
-binary reader, so they can be in any store that Spark reaches.
+Files are compressed with gzip, written by Spark's text writer, whose line separator is the format's own record
+end, and read by its binary reader, so they can be in any store that Spark reaches. Conversion reads them
+twice: first for digests, which decide on record types, then to write.
 
 Defined cases: null HTML counts as empty; a null URL is written as -; bytes that a header line can't hold are
 percent-encoded; a null page id is the smallest of its group; of rows that repeat a page id and payload one
@@ -21,6 +22,7 @@ is the response; an empty table gives an empty result; other columns of the inpu
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -46,6 +48,8 @@ ARC_TITLES = {
 }
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the RFC 4122 name space of URLs
 END = "\r\n\r\n"
+#: The most records of a WARC file.
+RECORDS = 5000
 
 
 def base32_sha1(data: bytes) -> str:
@@ -175,69 +179,72 @@ def _arc_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_arc(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write pages as ARC files, one for each partition."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rows.mapInArrow(_arc_files, "value binary").select(F.col("value").cast("string")).write.text(to)
+    rows.mapInArrow(_arc_files, "value binary").select(F.col("value").cast("string")).write.option("compression", "gzip").text(to)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
-_CONVERTED = "number string, url string, date string, head binary, payload binary, digest string"
+_FOUND = "path string, at int, number string, url string, date string, digest string, bytes long"
 
 
-def _from_arc(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What decides on records' types: all but their bodies."""
     for frame in frames:
-        for content in frame["content"]:
-            rows, held = [], 0
-            for header, body in parse_arc(content):
+        for path, content in zip(frame["path"], frame["content"], strict=True):
+            rows = []
+            for at, (header, body) in enumerate(parse_arc(gzip.decompress(content))):
                 head, payload = split_http(body)
-                rows.append((http_field(head, "X-Page-Id") or None, header["url"], timestamp(header["date"]), head, payload, base32_sha1(payload)))
-                held += len(body)
-                if held > 4_000_000:
-                    yield pd.DataFrame(rows, columns=["number", "url", "date", "head", "payload", "digest"])
-                    rows, held = [], 0
+                rows.append((path, at, http_field(head, "X-Page-Id") or None, header["url"], timestamp(header["date"]), base32_sha1(payload), len(payload)))
             if rows:
-                yield pd.DataFrame(rows, columns=["number", "url", "date", "head", "payload", "digest"])
+                yield pd.DataFrame(rows, columns=["path", "at", "number", "url", "date", "digest", "bytes"])
 
 
 def _to_warc(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        out = []
-        for r in frame.itertuples(index=False):
-            number = "" if r.number is None else r.number
-            mine = record_id(r.url, r.date, r.digest, number)
-            fields = {"WARC-Payload-Digest": f"sha1:{r.digest}"}
-            if not r.revisit:
-                out.append(Record("response", r.url, r.date, mine, r.head, r.payload, fields).serialised())
-                continue
-            fields |= {"WARC-Refers-To": record_id(r.of_url, r.of_date, r.digest, r.of_number or ""), "WARC-Refers-To-Target-URI": r.of_url, "WARC-Refers-To-Date": r.of_date, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-            out.append(Record("revisit", r.url, r.date, mine, r.head, b"", fields).serialised())
-        yield pd.DataFrame({"value": out})
+        for content, revisits in zip(frame["content"], frame["revisits"], strict=True):
+            of = {r["at"]: r for r in revisits} if revisits is not None else {}
+            out, held = [], 0
+            for at, (header, body) in enumerate(parse_arc(gzip.decompress(content))):
+                head, payload = split_http(body)
+                url, date, digest = header["url"], timestamp(header["date"]), base32_sha1(payload)
+                mine = record_id(url, date, digest, http_field(head, "X-Page-Id") or "")
+                fields = {"WARC-Payload-Digest": f"sha1:{digest}"}
+                if at in of:
+                    r = of[at]
+                    fields |= {"WARC-Refers-To": record_id(r["url"], r["date"], digest, r["number"] or ""), "WARC-Refers-To-Target-URI": r["url"], "WARC-Refers-To-Date": r["date"], "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+                    out.append(Record("revisit", url, date, mine, head, b"", fields).serialised())
+                else:
+                    out.append(Record("response", url, date, mine, head, payload, fields).serialised())
+                held += len(body)
+                if held > 4_000_000:
+                    yield pd.DataFrame({"value": out})
+                    out, held = [], 0
+            yield pd.DataFrame({"value": out})
 
 
 def arc_to_warc(spark: SparkSession, arc: str, to: str, least: int = 0) -> None:
     """Convert the ARC files of a folder to WARC files in another.
 
     Of records whose payloads are equal and have `least` bytes or more, that with the largest page id (else the
-    largest record number in the order of the files) is a response; the others revisit it.
+    last in the order of the files) is a response; the others revisit it.
     """
-    found = saved(_files(spark, arc).mapInPandas(_from_arc, _CONVERTED).withColumn("row", F.monotonically_increasing_id()), "arc")
-    key = ["digest", "bytes"]
-    known = found.withColumn("bytes", F.octet_length("payload"))
-    last = known.where(F.col("bytes") >= least).groupBy(*key).agg(F.max(F.struct(F.col("number").cast("long").alias("id"), "row", "url", "date", "number")).alias("of"), F.count("*").alias("copies")).where("copies > 1")
-    # only digests and headers meet; payloads stay with their rows and follow by row number
-    small = known.select("row", *key)
-    revisits = small.join(last.hint("merge"), key).where(F.col("row") != F.col("of.row"))
-    revisits = revisits.select("row", F.lit(True).alias("revisit"), F.col("of.url").alias("of_url"), F.col("of.date").alias("of_date"), F.col("of.number").alias("of_number"))
-    ready = found.join(revisits, "row", "left").select("number", "url", "date", "head", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "digest", F.coalesce("revisit", F.lit(False)).alias("revisit"), "of_url", "of_date", "of_number")
-    ready.mapInPandas(_to_warc, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END).text(to)
+    files, key = _files(spark, arc), ["digest", "bytes"]
+    found = saved(files.mapInPandas(_index, _FOUND), "arc-index")
+    last = found.where(F.col("bytes") >= least).groupBy(*key).agg(F.max(F.struct(F.col("number").cast("long").alias("id"), "path", "at", "url", "date", "number")).alias("of"), F.count("*").alias("copies")).where("copies > 1")
+    # written first, so that both sides of the join are dealt anew and Spark can split a payload that very many records have
+    revisits = found.select("path", "at", *key).join(saved(last, "payloads"), key).where((F.col("at") != F.col("of.at")) | (F.col("path") != F.col("of.path")))
+    by_file = revisits.groupBy("path").agg(F.collect_list(F.struct("at", F.col("of.url").alias("url"), F.col("of.date").alias("date"), F.col("of.number").alias("number"))).alias("revisits"))
+    ready = files.join(by_file, "path", "left").select("content", "revisits")
+    ready.mapInPandas(_to_warc, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(to)
 
 
 def _from_warc(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for content in frame["content"]:
             rows = []
-            for fields, body in parse_warc(content):
+            for fields, body in parse_warc(gzip.decompress(content)):
                 head, payload = split_http(body)
                 digest = fields["warc-payload-digest"].removeprefix("sha1:")
                 size = len(payload) if fields["warc-type"] == "response" else int(http_field(head, "Content-Length") or 0)
