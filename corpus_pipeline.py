@@ -27,12 +27,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as their rates have it: junk goes down to a hundredth of the tokens, clean documents stay.
+    """Documents as their rates have it: junk goes down to three hundredths of the tokens, clean documents stay.
 
     The total is set by the clean domain, whose share is what it is now, so no clean text has to go.
     """
     labelled = mixing.labels_as_domains(table(spark, sf_dir, "labels"), toxic=False)
-    return mixing.mixed(docs, labelled, {"clean": 0.99, "junk": 0.01}, "clean")
+    return mixing.mixed(docs, labelled, {"clean": 0.97, "junk": 0.03}, "clean")
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
