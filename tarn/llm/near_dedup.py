@@ -186,7 +186,8 @@ def near_dedup(docs: DataFrame, least: int = 85, size: int = 5, id_col: str = "d
     full = known.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = saved(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "s1", "s2", "bands"))), "sets")
     banded = reps.select("id", F.col("n_shingles").alias("n"), "s1", "s2", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
+    # what keys of bands are joined with is written first, so that both sides are dealt anew and Spark can split a band that very many sets share
+    shared = saved(banded.groupBy("key").agg(F.count("*").alias("count")).where("count > 1").select("key"), "shared")
     members = saved(banded.join(shared, "key", "left_semi"), "members")
     ids = members.select(F.col("id")).distinct()
     sets = saved(texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").mapInArrow(partial(_sets, size=size), "id long, elements array<long>").distinct(), "elements")
@@ -199,10 +200,12 @@ def near_dedup(docs: DataFrame, least: int = 85, size: int = 5, id_col: str = "d
         # any of the sets with the fewest elements of their own, which others are most likely to be near
         rank = F.floor(20 * F.col("own") / F.col("n"))
         pivot = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.xxhash64("id", F.lit(t)).alias("draw"), "id", "n", "own", "s1", "s2", "comp")).alias("p"))
-        pivot = pivot.select("key", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("id", "n", "own", "s1", "s2", "comp")))
+        pivot = saved(pivot.select("key", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("id", "n", "own", "s1", "s2", "comp"))), "pivots")
         met = _prefixed(rows, "a_", "key").join(pivot, "key").where((F.col("a_comp") != F.col("b_comp")) & _may_link(least))
         best = met.groupBy("a_id").agg(F.min(F.struct(_differ().alias("differ"), F.col("b_id").alias("b"), F.col("a_comp").alias("ca"), F.col("b_comp").alias("cb"))).alias("m"))
         links = saved(_links(best.select(F.col("a_id").alias("a"), "m.b", "m.ca", "m.cb"), sets, least), "found")
+        if links.isEmpty():
+            break
         labels = _merged(labels, links)
     labels = _merged(labels, _rest(members, reps, labels, sets, least))
     labels = _same_ids(full, reps, labels)
@@ -226,7 +229,8 @@ def _rest(members: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFram
     rows = members.join(labels, "id")
     sizes = labels.groupBy("comp").agg(F.count("*").alias("count"))
     rows = saved(rows.join(sizes, "comp"), "rows")
-    split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("count", "comp")).alias("m")).where("lo <> hi").select("key", F.col("m.comp").alias("major"))
+    split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("count", "comp")).alias("m")).where("lo <> hi")
+    split = saved(split.select("key", F.col("m.comp").alias("major")), "split")
     before = F.expr("slice(bands, 1, CAST(array_position(bands, key) AS INT) - 1)")
     open_ = saved(rows.join(split, "key").join(reps.select("id", "bands"), "id").withColumn("before", before).drop("bands"), "open")
     a, b = _prefixed(open_.where("comp <> major"), "a_", "key"), _prefixed(open_, "b_", "key")
