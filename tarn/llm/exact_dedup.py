@@ -81,11 +81,11 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     numbered = saved(cut_up.withColumn("row", F.monotonically_increasing_id()), "chunks")
     parts = ["bytes", "d1", "d2", "d3", "d4"]
     entries = numbered.select("row", "doc_id", "text_sha256", F.posexplode("chunks").alias("at", "chunk")).select("row", "doc_id", "text_sha256", "at", "chunk.*")
-    # what is known of each key: all its chunks are one, or not
+    # keys whose chunks are not all one: hardly any, but they can be as many as there are chunks, so Spark sees their size before it joins
     ranges = entries.groupBy("key").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in parts for f in (F.min, F.max)))
-    verified = ranges.select(F.col("key"), F.expr(" AND ".join(f"min_{c} = max_{c}" for c in parts)).alias("one"))
-    name = F.when(F.col("one"), F.array("key")).otherwise(F.array("key", *(F.col(c).cast("long") for c in parts)))
-    named = entries.join(verified, "key").select("row", "doc_id", "text_sha256", "at", name.alias("name"))
+    shared = saved(ranges.where(F.expr(" OR ".join(f"min_{c} <> max_{c}" for c in parts))).select("key", F.lit(True).alias("shared")), "shared-keys")
+    name = F.when(F.col("shared"), F.array("key", *(F.col(c).cast("long") for c in parts))).otherwise(F.array("key"))
+    named = entries.join(shared, "key", "left").select("row", "doc_id", "text_sha256", "at", name.alias("name"))
     listed = named.groupBy("row", "doc_id", "text_sha256").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("names"))
     return listed.select("row", "doc_id", "text_sha256", F.flatten("names.name").alias("recipe"))
 
@@ -96,9 +96,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of equal texts the row with the largest id stays.
     """
     known = saved(recipes(docs, id_col, text_col), "recipes")
-    groups = known.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
-    # the group's size is no hint for broadcasting: groups are as many as there are texts
-    out = known.join(groups.hint("merge"), "recipe")
+    # written first, so that both sides of the join are dealt anew and Spark can split a recipe that very many rows have
+    groups = saved(known.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size")), "groups")
+    out = known.join(groups, "recipe")
     return out.select("doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "text_sha256")
 
 
