@@ -105,17 +105,35 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes in depth-first order, laid out from 0 on in each task.
+
+    attends has the ancestors that this task has laid out; `above` counts those before, which are ancestors of the
+    task's first node too.
+    """
     from pyspark import TaskContext
 
     part, start = TaskContext.get().partitionId(), 0
+    line: list[tuple[bytes, list[dict[str, int]]]] = []  # the node before and its ancestors here: path, and intervals up to and with it
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
-            rows = batch.slice(at, 1000)
-            made = [render(r, t) for r, t in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
-            sizes = np.array([len(m[0]) for m in made], np.int64)
-            starts = start + np.cumsum(sizes) - sizes
-            start += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(made), part), pa.int64()), pa.array(starts), pa.array(sizes), *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2)), pa.array([m[0].astype("<u2").tobytes() for m in made], pa.binary())], ["path", "position", "part", "start", "size", "loss_from", "loss_to", "tokens"])
+            rows, out = batch.slice(at, 1000), []
+            for path, position, role, text in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True):
+                tokens, loss_from, loss_to = render(role, text)
+                while line and not (len(line[-1][0]) < len(path) and path.startswith(line[-1][0])):
+                    line.pop()
+                attends = line[-1][1] if line else []
+                end = start + len(tokens)
+                joins = bool(attends) and attends[-1]["to"] == start
+                line.append((path, [*attends[:-1], {"from": attends[-1]["from"], "to": end}] if joins else [*attends, {"from": start, "to": end}]))
+                out.append((path, position, part, start, len(tokens), loss_from, loss_to, tokens.astype("<u2").tobytes(), len(path) // STEP - len(line), attends))
+                start = end
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*out, strict=True), _LAID_KINDS, strict=True)], _LAID_NAMES)
+
+
+_SPAN = pa.struct([("from", pa.int64()), ("to", pa.int64())])
+_LAID_NAMES = ["path", "position", "part", "start", "size", "loss_from", "loss_to", "tokens", "above", "attends"]
+_LAID_KINDS = [pa.binary(), *[pa.int64()] * 6, pa.binary(), pa.int32(), pa.list_(_SPAN)]
+_LAID = "path binary, position long, part long, start long, size long, loss_from long, loss_to long, tokens binary, above int, attends array<struct<from:long,to:long>>"
 
 
 def pack(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,22 +147,27 @@ def pack(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
     found = saved(turns.mapInArrow(_nodes, "conv_id long, role string, text string, path binary, position long"), "turns")
     nodes = found.groupBy("path").agg(*(F.first(c).alias(c) for c in ("position", "role", "text")))
-    laid = saved(nodes.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_tokens, "path binary, position long, part long, start long, size long, loss_from long, loss_to long, tokens binary"), "nodes")
-    totals = sorted(tuple(r) for r in laid.groupBy("part").agg(F.sum("size")).collect())  # a row for each partition
-    before, offsets = 0, []
-    for part, size in totals:
+    laid = saved(nodes.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_tokens, _LAID), "nodes")
+    # a row for each task: where its part of the stream begins, and the path of its first node
+    parts = sorted(tuple(r) for r in laid.groupBy("part").agg(F.sum("size"), F.min("path")).collect())
+    before, offsets, carried = 0, [], []
+    for part, size, path in parts:
         offsets.append((part, before))
+        carried += [(part, k, path[: k * STEP]) for k in range(1, len(path) // STEP)]
         before += size
-    offsets = conversations.sparkSession.createDataFrame(offsets, "part long, before long")
-    placed = laid.join(F.broadcast(offsets), "part").withColumn("start", F.col("start") + F.col("before")).drop("part", "before")
-    up = placed.where(F.octet_length("path") > STEP).select("path", F.explode(F.expr(f"transform(sequence(1, octet_length(path) DIV {STEP} - 1), i -> substring(path, 1, CAST(i AS INT) * {STEP}))")).alias("above"))
-    taken = placed.select(F.col("path").alias("above"), F.col("start").alias("from"), (F.col("start") + F.col("size")).alias("to"))
-    spans = up.join(taken, "above").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))
+    spark = conversations.sparkSession
+    offsets = F.broadcast(spark.createDataFrame(offsets, "part long, before long"))
+    # intervals of the ancestors of first nodes: as many rows as tasks times the depth of a conversation
+    outer = spark.createDataFrame(carried, "of long, depth int, path binary")
+    outer = laid.join(F.broadcast(outer), "path").join(offsets, "part").select("of", "depth", (F.col("start") + F.col("before")).alias("from"), (F.col("start") + F.col("before") + F.col("size")).alias("to"))
+    outer = outer.groupBy(F.col("of").alias("part")).agg(F.array_sort(F.collect_list(F.struct("depth", F.struct("from", "to").alias("span")))).alias("outer"))
+    moved = F.expr("transform(attends, s -> named_struct('from', s.from + before, 'to', s.to + before))")
+    spans = F.concat(F.expr("coalesce(transform(slice(outer, 1, above), o -> o.span), CAST(array() AS ARRAY<STRUCT<from: BIGINT, to: BIGINT>>))"), moved)
     merged = F.expr("""aggregate(spans, CAST(array() AS ARRAY<STRUCT<from: BIGINT, to: BIGINT>>), (a, s) ->
         CASE WHEN size(a) > 0 AND element_at(a, -1).to = s.from
         THEN concat(slice(a, 1, size(a) - 1), array(named_struct('from', element_at(a, -1).from, 'to', s.to))) ELSE concat(a, array(s)) END)""")
-    none = F.expr("CAST(array() AS ARRAY<STRUCT<from: BIGINT, to: BIGINT>>)")
-    packed = placed.join(spans.select("path", merged.alias("attends")).hint("merge"), "path", "left").withColumn("attends", F.coalesce("attends", none))
+    placed = laid.join(offsets, "part").join(F.broadcast(outer), "part", "left").withColumn("spans", spans)
+    packed = placed.select("path", (F.col("start") + F.col("before")).alias("start"), "size", "position", "loss_from", "loss_to", "tokens", F.when(F.col("above") > 0, merged).otherwise(F.col("spans")).alias("attends"))
     leaves = found.groupBy("conv_id").agg(F.max_by("path", F.octet_length("path")).alias("path"))
     return packed, leaves
 

@@ -44,9 +44,14 @@ def test_reads_back_what_went_in(spark):
 
 
 def test_stream_holds_each_prefix_once_and_attention_sees_the_whole_conversation(spark):
-    rows = conversations(40, 3)
-    packed, leaves = C.pack(frame(spark, rows))
-    nodes = {bytes(r["path"]): r for r in packed.collect()}
+    rows = conversations(40, 3) + [(900 + k, t, "user", f"deep {t} {k if t > 30 else 0}") for k in range(6) for t in range(60)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that trees are spread over tasks
+    try:
+        packed, leaves = C.pack(frame(spark, rows))
+        nodes = {bytes(r["path"]): r for r in packed.collect()}
+        assert sorted(map(tuple, C.read_back(packed, leaves).collect()), key=str) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     prefixes = set()
     for conv in {r[0] for r in rows}:
         turns = [(r or "", x or "") for _, r, x in sorted((t, r or "", x or "") for c, t, r, x in rows if c == conv)]
