@@ -29,7 +29,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -42,8 +42,9 @@ from tarn.llm.common import new_dir, saved, table
 MAGIC = b"TRNS"
 SCALE, LANES, BLOCK = 18, 256, 1 << 16
 LOW = np.uint64(1 << 31)
-SEGMENT_TOKENS = 1 << 22
-CACHE = 400_000
+#: A segment is closed at so many tokens, a file at so many segments.
+SEGMENT_TOKENS, SEGMENTS = 1 << 22, 32
+CACHE = 600_000
 HEADER = struct.Struct("<4sIIIQ")
 _OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -92,12 +93,19 @@ class Encoder:
         cut = [("\0" + t).replace("\n", " \n").split(" ") if t and "\0" not in t and self.regular(t) else None for t in texts]
         missing = set().union(*(c for c in cut if c)).difference(self.pieces)
         if missing:
-            if len(self.pieces) + len(missing) > CACHE:
-                self.pieces = {}
-                missing = set().union(*(c for c in cut if c))
             self.learn(missing)
         get = self.pieces.__getitem__
-        return [b"".join(map(get, c)) if c else self.whole(t) if t else b"" for t, c in zip(texts, cut, strict=True)]
+        out = [b"".join(map(get, c)) if c else self.whole(t) if t else b"" for t, c in zip(texts, cut, strict=True)]
+        if len(self.pieces) > CACHE:  # the pieces met first, and so the frequent ones, stay
+            for piece in missing:
+                del self.pieces[piece]
+        return out
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which keeps its pieces from task to task."""
+    return Encoder(path)
 
 
 def frequencies(ids: np.ndarray) -> np.ndarray:
@@ -212,7 +220,7 @@ def unpack(data: memoryview, at: int) -> tuple[list[int | None], np.ndarray, np.
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, end = Encoder(path), np.array([end_id], np.uint16).tobytes()
+    coder, end = encoder(path), np.array([end_id], np.uint16).tobytes()
     ids, parts, counts, held = [], [], [], 0
 
     def segment() -> pa.RecordBatch:
@@ -222,7 +230,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             texts = batch.column(1).slice(at, 500).to_pylist()
-            for i, data in zip(batch.column(0).slice(at, 500).to_pylist(), encoder.encode(texts), strict=True):
+            for i, data in zip(batch.column(0).slice(at, 500).to_pylist(), coder.encode(texts), strict=True):
                 ids.append(i)
                 parts.append(data + end)
                 counts.append(len(data) // 2 + 1)
@@ -238,7 +246,7 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, id_c
     """Write the ids of all texts, each followed by end_id, to token files in the folder `to`, in ascending order of id."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(partial(_write, path=tokenizer, end_id=end_id), "value binary").select(F.col("value").cast("string")).write.text(to)
+    ordered.mapInArrow(partial(_write, path=tokenizer, end_id=end_id), "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", SEGMENTS).text(to)
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,8 +274,9 @@ def token_index(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     to = new_dir(spark, "tokens")
     write_tokens(docs, to, tokenizer, end_id)
     rows = saved(read_tokens(spark, to), "token-index")
-    # files follow each other in the order of their names; there are as many as tasks that wrote them
-    totals = sorted((r["path"], r["n"]) for r in rows.groupBy("path").agg(F.sum("n_tokens").alias("n")).collect())
+    # files follow each other by the task that wrote them and their number in it; the driver sees a row for each file
+    totals = [(r["path"], r["n"]) for r in rows.groupBy("path").agg(F.sum("n_tokens").alias("n")).collect()]
+    totals.sort(key=lambda x: [int(k) for k in re.search(r"part-(\d+)-.*-c(\d+)", x[0]).groups()])
     before, offsets = 0, []
     for path, n in totals:
         offsets.append((path, before))

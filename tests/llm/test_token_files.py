@@ -49,13 +49,34 @@ def test_damage_is_noticed():
         T.unpack(memoryview(bytes(data)), 0)
 
 
-def test_matches_brute_force(spark, monkeypatch):
+def _in_small_files(docs):
+    """Through segments of about 100 tokens and one segment a file."""
+    kept = T._write, T.SEGMENTS
+    try:
+        T._write, T.SEGMENTS = _write_small, 1
+        return T.token_index(docs, PATH)
+    finally:
+        T._write, T.SEGMENTS = kept
+
+
+def _write_small(batches, path, end_id):
+    from tarn.llm import token_files
+
+    kept, token_files.SEGMENT_TOKENS = token_files.SEGMENT_TOKENS, 100
+    try:
+        yield from token_files._write(batches, path, end_id)
+    finally:
+        token_files.SEGMENT_TOKENS = kept
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_matches_brute_force(spark, small):
     tokenizer = Tokenizer.from_file(PATH)
     texts = mixed()
     random.Random(2).shuffle(texts)
     rows = [(3 * i + 1, t) for i, t in enumerate(texts)] + [(None, "no id")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, start string").repartition(5)
-    got = {r["doc_id"]: r for r in T.token_index(docs, PATH).collect()}
+    got = {r["doc_id"]: r for r in (_in_small_files(docs) if small else T.token_index(docs, PATH)).collect()}
     start = 0
     assert len(got) == len(rows)
     for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
