@@ -22,8 +22,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the least id."""
-    return near_dedup.without_near_copies(docs)
+    """Of each group of near-duplicates (80 percent or more of their runs of five words in common), the document with the least id."""
+    return near_dedup.without_near_copies(docs, least=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

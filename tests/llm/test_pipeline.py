@@ -45,3 +45,17 @@ def test_pipeline_stages_on_an_empty_table(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_near_dedup_stage_links_from_a_similarity_of_80_percent(spark):
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    texts = {}
+    for f, common in enumerate((80, 88, 89, 90, 91, 92, 95)):  # 100 runs of five words each, so many of them in common
+        base = words(f"w{f}_", 104)
+        texts[10 * f], texts[10 * f + 1] = base, [*base[: common + 4], *words(f"v{f}_", 100 - common)]
+    runs = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in texts.items()}
+    alike = lambda i, j: len(runs[i] & runs[j]) / len(runs[i] | runs[j])
+    want = sorted(i for i in texts if i % 10 == 0 or alike(i, i - 1) < 0.8)
+    assert {round(alike(i, i - 1), 2) for i in texts if i % 10 and i not in want} >= {0.8, 0.82, 0.83, 0.85} and len(want) > len(texts) // 2
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in P.near_dedup_stage(spark, docs, SF).collect()) == want
