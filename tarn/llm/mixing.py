@@ -166,11 +166,12 @@ def rated(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], an
 
 
 def copies(doc_id: Column, rates: Column, quantum: float = 0.1) -> Column:
-    """How many copies realise a rate, rounded to multiples of quantum: its whole part, and one more with its rest as the chance.
+    """How many copies realise a rate: its whole part, and one more with its rest as the chance.
 
-    The draw is a hash of the id, so it is the same in each run.
+    The rate is first rounded to multiples of quantum, or with 0 taken as it is: only then are the expected
+    token totals those of the rates, since documents of equal features are all rounded the same way. The draw is a hash of the id, so it is the same in each run.
     """
-    rounded = F.round(rates / quantum) * quantum
+    rounded = F.round(rates / quantum) * quantum if quantum else rates
     draw = F.pmod(F.xxhash64(doc_id), F.lit(1 << 40)) / float(1 << 40)
     return F.floor(rounded + draw + 1e-9).cast("int")
 
@@ -185,10 +186,10 @@ def labels_as_domains(labels: DataFrame, toxic: bool = True) -> DataFrame:
 def mixed(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], anchor: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns, once each: rates over 1 count as 1."""
     out = rated(docs, labelled, weights, anchor, docs.columns, id_col, text_col)
-    return out.where(copies(F.col(id_col), F.least("rate", F.lit(1.0))) > 0).select(*docs.columns)
+    return out.where(copies(F.col(id_col), F.least("rate", F.lit(1.0)), quantum=0) > 0).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = labels_as_domains(table(spark, sf_dir, "labels"))
     out = rated(table(spark, sf_dir, "documents"), labelled, {"clean": 0.96, "junk": 0.03, "toxic": 0.01})
-    return out.withColumn("copies", copies(F.col("doc_id"), F.col("rate")))
+    return out.withColumn("copies", copies(F.col("doc_id"), F.col("rate"), quantum=0))

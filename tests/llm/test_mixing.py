@@ -67,3 +67,24 @@ def test_odd_rows(spark):
     assert M.rated(docs.limit(0), labels, weights).count() == 0
     assert all(abs(r["p_clean"] - 0.5) < 1e-9 and abs(r["rate"] - 1) < 1e-6 for r in M.rated(docs, labels.limit(0), weights).collect())
     assert M.mixed(docs, labels, weights, "clean").columns == docs.columns
+
+
+def test_realised_token_totals_meet_targets_at_small_rates(spark, tmp_path):
+    r = random.Random(3)
+    marks, docs, labels = {"clean": "", "junk": "###", "toxic": "zqx"}, [], []
+    for i in range(8000):
+        kind = r.choices(list(marks), [35, 40, 25])[0]
+        docs.append((i, " ".join(marks[kind] + "".join(r.choice("abdeghilnorstu") for _ in range(6)) for _ in range(20))))
+        labels.append((i, int(kind != "junk"), int(kind == "toxic"), kind))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    truth = spark.createDataFrame(labels, "doc_id long, quality int, toxic int, kind string")
+    truth.where("doc_id % 2 = 0").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = M.op10_mixing(spark, str(tmp_path)).join(truth.select("doc_id", "kind"), "doc_id").collect()
+    share = lambda kind: sum(x["copies"] * x["n_tokens"] for x in rows if x["kind"] == kind) / sum(x["n_tokens"] for x in rows)
+    rates = [x["rate"] for x in rows if x["kind"] == "toxic"]
+    assert 0.03 < np.mean(rates) < 0.05
+    assert abs(share("clean") - 0.96) < 0.01 and abs(share("junk") - 0.03) < 0.005 and abs(share("toxic") - 0.01) < 0.003
+    known = M.labels_as_domains(truth.where("doc_id % 2 = 0"), toxic=False)
+    kept = {x["doc_id"] for x in M.mixed(spark.read.parquet(str(tmp_path / "documents.parquet")), known, {"clean": 0.97, "junk": 0.03}, "clean").collect()}
+    of = lambda junk: [i in kept for i, *_, kind in labels if (kind == "junk") == junk]
+    assert np.mean(of(False)) > 0.99 and abs(np.mean(of(True)) - 0.03 / 0.97 * len(of(False)) / len(of(True))) < 0.012
