@@ -192,7 +192,9 @@ def near_dedup(docs: DataFrame, least: int = 85, size: int = 5, id_col: str = "d
     ids = members.select(F.col("id")).distinct()
     sets = saved(texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").mapInArrow(partial(_sets, size=size), "id long, elements array<long>").distinct(), "elements")
     single = sets.select("id", F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("count"), F.min("id").alias("id")).where("count = 1")
-    own = single.groupBy("id").agg(F.count("*").alias("own"))
+    # an id with several texts has elements of all of them here, so nothing is known of a single one
+    several = sets.groupBy("id").agg(F.count("*").alias("count")).where("count > 1").select("id")
+    own = single.groupBy("id").agg(F.count("*").alias("own")).join(several, "id", "left_anti")
     members = saved(members.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))), "members")
     labels = ids.select("id", F.col("id").alias("comp"))
     for t in range(ROUNDS):

@@ -114,3 +114,12 @@ def test_sketches_do_not_depend_on_slices(monkeypatch):
     whole = pa.Table.from_batches(N._sketches([batch], 5)).to_pylist()
     monkeypatch.setattr(N.W, "slices", lambda c, f=W.slices: f(c, 300))
     assert pa.Table.from_batches(N._sketches([batch], 5)).to_pylist() == whole
+
+
+def test_an_id_with_two_texts_keeps_the_links_of_each(spark):
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    first, other = words("a", 104), words("u", 504)
+    changed = [*first[:-1], "changed"]
+    data = [(i, " ".join(t)) for i, t in ((5, first), (5, other), (7, changed), (9, words("z", 50)))]
+    got = N.near_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(5, 100, 5), (5, 500, 5), (7, 100, 5), (9, 46, 9)]
