@@ -50,15 +50,18 @@ _OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian u16 or u32 bytes, with pieces kept from one text to the next."""
+    """Ids of whole texts, as little-endian u16 or u32 bytes, with pieces kept from one text to the next.
 
-    def __init__(self, path: str, kind: type = np.uint16) -> None:
+    kind: u32 where the largest id of the vocabulary is over 65,535, else u16, unless given.
+    """
+
+    def __init__(self, path: str, kind: type | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = kind
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = kind or (np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: one character each in a byte-level vocabulary
         for piece, i in vocabulary.items():
             self.lengths[i] = len(piece)
@@ -220,11 +223,12 @@ def unpack(data: memoryview, at: int) -> tuple[list[int | None], np.ndarray, np.
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    coder, end = encoder(path), np.array([end_id], np.uint16).tobytes()
+    coder = encoder(path)
+    end = np.array([end_id], coder.kind).tobytes()
     ids, parts, counts, held = [], [], [], 0
 
     def segment() -> pa.RecordBatch:
-        tokens = np.frombuffer(b"".join(parts), np.uint16).astype(np.int64)
+        tokens = np.frombuffer(b"".join(parts), coder.kind).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array([pack(ids, np.array(counts), tokens)], pa.binary())], ["value"])
 
     for batch in batches:
@@ -233,7 +237,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
             for i, data in zip(batch.column(0).slice(at, 500).to_pylist(), coder.encode(texts), strict=True):
                 ids.append(i)
                 parts.append(data + end)
-                counts.append(len(data) // 2 + 1)
+                counts.append(len(data) // len(end) + 1)
                 held += counts[-1]
                 if held >= SEGMENT_TOKENS:
                     yield segment()

@@ -1,5 +1,7 @@
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -86,3 +88,20 @@ def test_matches_brute_force(spark, small):
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c")], "doc_id long, text string")
     assert T.token_index(twice, PATH).count() == 3
     assert T.token_index(twice.limit(0), PATH).count() == 0
+
+
+def test_ids_over_65535(spark, tmp_path):
+    path = str(tmp_path / "large.json")
+    large = json.loads(Path(PATH).read_text())
+    vocabulary = large["model"]["vocab"]
+    added = {t["id"] for t in large["added_tokens"]}
+    large["model"]["vocab"] = {piece: i if i in added or i % 2 else i + 70_000 for piece, i in vocabulary.items()}
+    Path(path).write_text(json.dumps(large))
+    tokenizer, texts = Tokenizer.from_file(path), ["Hello world of ids", "one\ttwo", "", None]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert max(want[0]) > 65_535
+    coder = T.Encoder(path)
+    assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode(texts)] == want
+    got = {r["doc_id"]: r for r in T.token_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, 70_000).collect()}
+    for i, ids in enumerate(want):
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids) + 1, zlib.crc32(np.array([*ids, 70_000], "<u4").tobytes()))
