@@ -20,10 +20,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: 64-bit values for bytes, and an odd base for polynomial hashes modulo 2**64.
-_TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: By number of bytes: the bits of a little-endian 64-bit number that they take up.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,29 +35,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_INVERSE, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
+def _odd(k: np.ndarray) -> np.ndarray:
+    """An odd multiplier for each place."""
+    return mix(k.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]]; equal bytes give equal hashes in any slice."""
-    up, down = _POWERS.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of data[starts[i]:ends[i]]; equal bytes give equal hashes in any slice.
+
+    Each eight bytes are mixed by themselves before they are summed with a multiplier for their place, so no
+    pattern of bytes makes two texts alike for every choice of constants.
+    """
+    padded = np.concatenate([np.ascontiguousarray(data), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    sizes = (ends - starts).astype(np.int64)
+    total = mix(eight[starts] & _MASKS[np.minimum(sizes, 8)])
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] - 1) >> 3  # parts after the first
+        first = np.cumsum(more) - more
+        k = np.arange(more.sum()) - np.repeat(first, more) + 1
+        at = np.repeat(starts[long], more) + 8 * k
+        parts = mix(eight[at] & _MASKS[np.minimum(np.repeat(ends[long], more) - at, 8)]) * _odd(k)
+        total[long] += np.add.reduceat(parts, first)
+    return mix(total + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 @dataclass
