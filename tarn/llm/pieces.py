@@ -1,22 +1,24 @@
-"""SentencePiece encoding and decoding in numpy.
+"""SentencePiece encoding and decoding by a batched Viterbi in numpy.
 
 A model file's pieces and scores are kept as sorted 64-bit keys. Texts are cut into units where no
 piece reaches across (before runs of the space mark, and around characters that no piece has);
-distinct units of equal length advance together: a rolling hash gives the key of every substring,
-which is looked up among the pieces, and then
+distinct units of equal length advance together: the key of every substring grows from that of the
+one before by a character, ends where no piece begins so, and is looked up among the pieces; at each
+position the best sum of scores of all pieces that end there is kept with a backpointer. A unit of
+over LONG characters is walked by itself, a window at a time.
 
-* a unigram file takes the segmentation with the greatest sum of scores (Viterbi: at each position
-  the best of all pieces that end there, kept as backpointers);
-* a BPE file defines its segmentation by the order of its merges, which no sum of scores gives, so
-  all units make their best merge together, again and again, over the same table of substrings.
+The ids are those with the greatest sum of scores, for any file. On a unigram file they equal the
+sentencepiece library's. A BPE file's own segmentation is the order of its merges, which no sum of
+scores gives; method="merges" gives it (equal to the library), by merges over the same substrings.
+Either decodes to the same text. Characters outside the vocabulary become byte pieces where the
+file has them, else the unknown piece. Files with another normaliser than identity are refused.
 
-Results equal the sentencepiece library's. Characters outside the vocabulary become byte pieces
-where the file has them, else the unknown piece. Files with another normaliser than identity are
-refused.
+The file is read on the driver and its bytes are broadcast.
 
 Defined cases: null and empty text have no ids; a text's own space marks (U+2581) decode as
 spaces, as in the library; repeated rows and null ids are kept; an empty table gives an empty
-result; other columns of the input are carried along (encode) or ignored (round_trip).
+result; other columns of the input, whatever their names, are carried along (encode, decode) or
+ignored (round_trip), and a column named as the new one is replaced.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ import hashlib
 import heapq
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.llm import words as W
 from tarn.llm.common import table
@@ -38,9 +41,10 @@ from tarn.llm.common import table
 MARK = 0x2581
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-LONG = 512
+LONG = 256
 CACHE = 300_000
 SLICE = 1 << 20
+WINDOW = 1 << 16
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -98,49 +102,75 @@ class Pieces:
         normal = [i for i in range(len(text)) if kind[i] in (NORMAL, USER)]
         points = [np.array([ord(c) for c in text[i]], np.uint32) for i in normal]
         self.longest = max(map(len, points))
-        self.inside = set(np.concatenate(points).tolist())
+        self.inside = np.zeros(0x110001, bool)  # by character, whether any piece has it
+        self.inside[np.concatenate(points)] = True
         if any(MARK in p[(p != MARK).argmax() :].tolist() for p in points if (p != MARK).any()):
             raise ValueError("only files whose pieces have space marks at their start alone are supported")
-        joined, ends = np.concatenate(points), np.cumsum([len(p) for p in points])
-        keys = _hashes(_sums(joined), ends - [len(p) for p in points], ends)
+        lengths, keys = np.array([len(p) for p in points]), np.zeros(len(points), np.uint64)
+        padded = np.zeros((len(points), self.longest), np.uint32)
+        for row, p in zip(padded, points, strict=True):
+            row[: len(p)] = p
+        self.begins = np.zeros(1 << 22, bool)  # by the top bits of a key: some piece begins so
+        for k in range(self.longest):
+            on = lengths > k
+            keys[on] = _grown(keys[on], padded[on, k])
+            self.begins[(keys[on] >> np.uint64(42)).astype(np.int64)] = True
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal)[order]
         self.scores = np.array(score)[self.ids]
-        self.may = np.zeros(1 << 20, bool)
-        self.may[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        self.may = np.zeros(1 << 22, bool)
+        self.may[(self.keys >> np.uint64(42)).astype(np.int64)] = True
         # what each id decodes to
         shown = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else t.replace("▁", " ").encode() for t, k in zip(text, kind, strict=True)]
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.shown_ends = np.cumsum([len(b) for b in shown])
         self.shown_sizes = np.array([len(b) for b in shown])
-        self.known: dict[int, tuple[bytes, int]] = {}
+        self.forget()
 
     # tables of substrings
 
+    def matches(self, points: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each size: where pieces of that size begin in points, and their indices among the sorted keys.
+
+        left: how many characters there are from each place on.
+        """
+        at, keys = np.flatnonzero(left > 0), np.zeros(0, np.uint64)
+        keys = np.zeros(len(at), np.uint64)
+        for size in range(1, self.longest + 1):
+            keys = _grown(keys, points[at + size - 1])
+            top = (keys >> np.uint64(42)).astype(np.int64)
+            going = self.begins[top]
+            at, keys, top = at[going], keys[going], top[going]
+            may = np.flatnonzero(self.may[top])
+            place = np.minimum(np.searchsorted(self.keys, keys[may]), len(self.keys) - 1)
+            same = self.keys[place] == keys[may]
+            yield size, at[may[same]], place[same]
+            more = left[at] > size
+            at, keys = at[more], keys[more]
+            if not len(at):
+                return
+
     def substrings(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For units of one length (rows): the index among the sorted keys of the piece at [i, i + n), or -1, as [n - 1, row, i]; and scores."""
         rows, n = points.shape
-        most = min(n, self.longest)
-        sums = np.zeros((rows, n + 1), np.uint64)
-        up, down = W._POWERS.get(n + 1)
-        np.cumsum(_values(points) * up[:n], axis=1, out=sums[:, 1:])
-        found = np.full((most, rows, n), -1, np.int32)
-        for size in range(1, most + 1):
-            keys = W.mix((sums[:, size:] - sums[:, :-size]) * down[: n - size + 1] + np.uint64(size))
-            may = self.may[(keys >> np.uint64(44)).astype(np.int64)]
-            some = keys[may]
-            at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
-            own = np.full(may.shape, -1, np.int32)
-            own[may] = np.where(self.keys[at] == some, at, -1)
-            found[size - 1, :, : n - size + 1] = own
+        found = np.full((min(n, self.longest), rows * n), -1, np.int32)
+        for size, at, index in self.matches(points.reshape(-1), np.tile(np.arange(n, 0, -1), rows)):
+            found[size - 1, at] = index
+        found = found.reshape(-1, rows, n)
         return found, np.where(found >= 0, self.scores[found], -np.inf)
 
-    def viterbi(self, points: np.ndarray) -> np.ndarray:
-        """Lengths of the pieces of the best segmentation at their starts, 0 elsewhere; of equal ones, that with the longest last piece."""
-        rows, n = points.shape
-        _, scores = self.substrings(points)
-        alone = self.scores.min() - 10  # an unknown character
-        scores[0] = np.where(np.isneginf(scores[0]), alone, scores[0])
+    @property
+    def alone(self) -> float:
+        """The score of an unknown character."""
+        return float(self.scores.min()) - 10
+
+    def viterbi(self, scores: np.ndarray) -> np.ndarray:
+        """Lengths of the pieces of the best segmentation at their starts, 0 elsewhere; of equal ones, that with the longest last piece.
+
+        scores: as substrings gives them.
+        """
+        _, rows, n = scores.shape
+        scores[0] = np.where(np.isneginf(scores[0]), self.alone, scores[0])
         best, back = np.full((n + 1, rows), -np.inf), np.zeros((n + 1, rows), np.int64)
         best[0] = 0
         for end in range(1, n + 1):
@@ -158,12 +188,45 @@ class Pieces:
             row, end = row[end > 0], end[end > 0]
         return out
 
-    def merges(self, points: np.ndarray) -> np.ndarray:
+    def viterbi_long(self, points: np.ndarray) -> np.ndarray:
+        """The same for one long unit, a window of its starts at a time; a byte is kept for each character."""
+        n, most = len(points), self.longest
+        back = np.ones(n + 1, np.uint16)
+        best = np.full(most + 1, -np.inf)  # at the window's first place and those after it
+        best[0] = 0
+        for begin in range(0, n, WINDOW):
+            size = min(WINDOW, n - begin)
+            part = points[begin : begin + size + most - 1]
+            left = np.minimum(np.arange(len(part), 0, -1), most)
+            left[size:] = 0
+            found = [(s, at, self.scores[index]) for s, at, index in self.matches(part, left)]
+            starts = np.concatenate([at for _, at, _ in found] or [np.zeros(0, int)])
+            order = np.argsort(starts, kind="stable")
+            edges = np.searchsorted(starts[order], np.arange(size + 1)).tolist()
+            sizes = np.concatenate([np.full(len(at), s) for s, at, _ in found] or [np.zeros(0, int)])[order].tolist()
+            scores = np.concatenate([x for *_, x in found] or [np.zeros(0)])[order].tolist()
+            reach, came = [*best.tolist(), *[-np.inf] * size], back[begin : begin + size + most + 1].tolist()
+            came += [1] * (size + most + 1 - len(came))
+            for i in range(size):
+                here, a, b = reach[i], edges[i], edges[i + 1]
+                if (a == b or sizes[a] > 1) and here + self.alone > reach[i + 1]:
+                    reach[i + 1], came[i + 1] = here + self.alone, 1
+                for k in range(a, b):
+                    if here + scores[k] > reach[i + sizes[k]]:
+                        reach[i + sizes[k]], came[i + sizes[k]] = here + scores[k], sizes[k]
+            last = min(len(back) - begin, size + most + 1)
+            back[begin : begin + last] = came[:last]
+            best = np.array(reach[size : size + most + 1])
+        out, end = np.zeros(n, np.int64), n
+        while end > 0:
+            size = int(back[end])
+            end -= size
+            out[end] = size
+        return out
+
+    def merges(self, scores: np.ndarray) -> np.ndarray:
         """As viterbi, by merges: while a pair of neighbours makes a piece, that with the best score, the leftmost first, becomes one."""
-        rows, n = points.shape
-        if n > LONG:
-            return np.stack([self._merge_long(p) for p in points])
-        _, scores = self.substrings(points)
+        _, rows, n = scores.shape
         sizes, out, row = np.ones((rows, n), np.int64), np.ones((rows, n), np.int64), np.arange(rows)
         place = np.arange(n)
         while len(row):
@@ -182,8 +245,8 @@ class Pieces:
             row, sizes = row[going], sizes[going]
         return out
 
-    def _merge_long(self, points: np.ndarray) -> np.ndarray:
-        """The same for one long unit, with a heap of pairs."""
+    def merges_long(self, points: np.ndarray) -> np.ndarray:
+        """The same for one long unit, with a heap of pairs; its table of substrings is held whole."""
         n = len(points)
         _, scores = self.substrings(points[None])
         sizes, before = np.ones(n + 1, np.int64).tolist(), list(range(-1, n))
@@ -209,21 +272,13 @@ class Pieces:
                 offer(before[i])
         return np.array(sizes[:n])
 
-    def _ids(self, points: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        """Ids of the segmentation of each row."""
-        rows, n = points.shape
-        found, _ = self.substrings(points)
-        row, at = np.nonzero(sizes)
-        index = found[sizes[row, at] - 1, row, at]
-        ids = np.where(index >= 0, self.ids[index], -1)
-        cuts = np.searchsorted(row, np.arange(1, rows))
-        out = np.split(ids, cuts)
-        for r in np.unique(row[ids < 0]).tolist():
-            own = []
-            for i, p in zip(out[r].tolist(), at[row == r].tolist(), strict=True):
-                own += [i] if i >= 0 else self._fallback(int(points[r, p]))
-            out[r] = np.array(own)
-        return out
+    def _ids(self, points: np.ndarray, at: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that begin at `at` and have an index among the keys, or -1: characters that are no piece; and how many each has."""
+        ids, sizes = np.where(index >= 0, self.ids[index], -1), np.ones(len(index), np.int64)
+        if not (index < 0).any():
+            return ids, sizes
+        parts = [[i] if i >= 0 else self._fallback(int(p)) for i, p in zip(ids.tolist(), points[at].tolist(), strict=True)]
+        return np.array([i for part in parts for i in part], np.int64), np.array([len(part) for part in parts])
 
     def _fallback(self, point: int) -> list[int]:
         data = chr(point).encode("utf-8", "surrogatepass")
@@ -231,47 +286,87 @@ class Pieces:
 
     # whole texts
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of the texts end to end, the number of each text's, and that of the pieces which Viterbi gives it."""
+    def forget(self) -> None:
+        """Start with no unit known."""
+        self.slots: dict[tuple[str, int], int] = {}  # by method and hash of a unit
+        self.held = [[np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]]  # characters and ids of known units
+        self.spans = np.zeros((0, 4), np.int64)  # of each: where its characters begin, how many, where its ids begin, how many
+
+    def encode(self, texts: list[str | None], method: str = "viterbi") -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts end to end, and the number of each text's."""
         shown = [("▁" * self.dummy + t).replace(" ", "▁") if t else "" for t in texts]
         points = np.frombuffer("".join(shown).encode("utf-32-le", "surrogatepass"), np.uint32)
         edges = np.cumsum([0, *map(len, shown)])
         if not len(points):
-            none = np.zeros(len(texts), np.int64)
-            return np.zeros(0, np.int64), none, none
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         mark = points == MARK
-        outside = ~np.isin(points, np.fromiter(self.inside, np.uint32))
+        outside = ~self.inside[points]
         cut = np.zeros(len(points), bool)
         cut[1:] = (mark[1:] & ~mark[:-1]) | outside[1:] | outside[:-1]
         cut[0] = True
         cut[edges[:-1][edges[:-1] < len(points)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(points))
-        hashes, first, inverse = np.unique(_hashes(_sums(points), starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
-            self.known = {}
-        new = [k for k, h in enumerate(hashes.tolist()) if h not in self.known]
-        self._learn(points, hashes, starts[first], ends[first], np.array(new, np.int64))
-        units = [self.known[h] for h in hashes.tolist()]
-        sizes = np.array([len(u[0]) // 4 for u in units])[inverse]
-        pieces = np.array([u[1] for u in units])[inverse]
-        data = b"".join([units[k][0] for k in inverse.tolist()])
+        hashes, first, inverse = np.unique(W.span_hashes(points.view(np.uint8), 4 * starts, 4 * ends), return_index=True, return_inverse=True)
+        if len(self.slots) > CACHE:
+            self.forget()
+        new = np.array([k for k, h in enumerate(hashes.tolist()) if (method, h) not in self.slots], np.int64)
+        self._learn(points, starts[first[new]], ends[first[new]], method)
+        for k, h in enumerate(hashes[new].tolist()):
+            self.slots[method, h] = len(self.spans) - len(new) + k
+        slot = np.fromiter((self.slots[method, h] for h in hashes.tolist()), np.int64, len(hashes))[inverse]
+        characters, ids = (x[0] if len(x) == 1 else np.concatenate(x) for x in self.held)
+        self.held = [[characters], [ids]]
+        at, size, to, count = self.spans[slot].T
+        # a hash may stand for another unit than that known by it
+        wrong = size != ends - starts
+        lengths = np.where(wrong, 0, size)
+        differ = characters[_places(at, lengths)] != points[_places(starts, lengths)]
+        if differ.any() or wrong.any():
+            wrong[np.repeat(np.arange(len(slot)), lengths)[differ]] = True
+            other, begin = np.flatnonzero(wrong), len(self.spans)
+            self._learn(points, starts[other], ends[other], method)
+            slot[other] = begin + np.arange(len(other))
+            characters, ids = (np.concatenate(x) for x in self.held)
+            at, size, to, count = self.spans[slot].T
         text = np.searchsorted(edges, starts, "right") - 1
-        count = lambda of: np.bincount(text, weights=of, minlength=len(texts)).astype(np.int64)
-        return np.frombuffer(data, "<i4").astype(np.int64), count(sizes), count(pieces)
+        return ids[_places(to, count)].astype(np.int64), np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)
 
-    def _learn(self, points: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, new: np.ndarray) -> None:
-        lengths = (ends - starts)[new]
+    def _learn(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, method: str) -> None:
+        """Segment units and append them to those that are known, in the order given."""
+        lengths = ends - starts
+        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(starts)
         for n in np.unique(lengths).tolist():
-            group = new[lengths == n]
+            group = np.flatnonzero(lengths == n)
+            if n > LONG:
+                for k in group.tolist():
+                    ids[k] = self._long_ids(points[starts[k] : ends[k]], method)
+                continue
             step = max(1, 2_000_000 // (n * min(n, self.longest)))
-            for at in range(0, len(group), step):
-                part = group[at : at + step]
+            for begin in range(0, len(group), step):
+                part = group[begin : begin + step]
                 grid = points[starts[part][:, None] + np.arange(n)]
-                best = self.viterbi(grid)
-                sizes = best if self.type == UNIGRAM else self.merges(grid)
-                for h, ids, k in zip(hashes[part].tolist(), self._ids(grid, sizes), (best > 0).sum(axis=1).tolist(), strict=True):
-                    self.known[h] = (ids.astype("<i4").tobytes(), k)
+                found, scores = self.substrings(grid)
+                sizes = self.viterbi(scores) if method == "viterbi" else self.merges(scores)
+                row, at = np.nonzero(sizes)
+                own, counts = self._ids(grid.reshape(-1), row * n + at, found[sizes[row, at] - 1, row, at])
+                counts = np.bincount(row, weights=counts, minlength=len(part)).astype(np.int64)
+                for k, x in zip(part.tolist(), np.split(own.astype(np.int32), np.cumsum(counts)[:-1]), strict=True):
+                    ids[k] = x
+        counts, begin, held = np.array([len(x) for x in ids], np.int64), sum(map(len, self.held[0])), sum(map(len, self.held[1]))
+        self.spans = np.concatenate([self.spans, np.stack([begin + np.cumsum(lengths) - lengths, lengths, held + np.cumsum(counts) - counts, counts], axis=1)])
+        self.held[0].append(points[_places(starts, lengths)])
+        self.held[1].append(np.concatenate([np.zeros(0, np.int32), *ids]))
+
+    def _long_ids(self, points: np.ndarray, method: str) -> np.ndarray:
+        sizes = self.viterbi_long(points) if method == "viterbi" else self.merges_long(points)
+        at = np.flatnonzero(sizes)
+        keys = np.zeros(len(at), np.uint64)
+        for k in range(int(sizes.max())):
+            on = np.flatnonzero(sizes[at] > k)
+            keys[on] = _grown(keys[on], points[at[on] + k])
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self._ids(points, at, np.where(self.keys[place] == keys, place, -1))[0].astype(np.int32)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The texts, in UTF-8, of ids end to end; counts has the number of each text's."""
@@ -283,85 +378,101 @@ class Pieces:
         return [data[a + (self.dummy and data[a : a + 1] == b" " and b > a) : b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _values(points: np.ndarray) -> np.ndarray:
-    return W.mix(points.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+def _grown(keys: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Keys of substrings that are a character longer."""
+    return W.mix(keys * np.uint64(0xD6E8FEB86659FD93) + points.astype(np.uint64) + np.uint64(1))
 
 
-def _sums(points: np.ndarray) -> np.ndarray:
-    up, _ = W._POWERS.get(len(points) + 1)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(_values(points) * up[: len(points)], out=sums[1:])
-    return sums
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = W._POWERS.get(len(sums))
-    return W.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+_LOADED: dict[str, Pieces] = {}
 
 
-@lru_cache(2)
 def load(path: str) -> Pieces:
     with open(path, "rb") as file:
         return Pieces(file.read())
 
 
+def _shipped(spark: SparkSession, path: str):
+    """The file's bytes (some 500 kB) for all tasks."""
+    with open(path, "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
+
+
+def _loaded(data) -> Pieces:
+    """One for each Python worker, which keeps known units from task to task."""
+    key = hashlib.sha256(data.value).hexdigest()
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Pieces(data.value)
+    return _LOADED[key]
+
+
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """Parts of a column of about SLICE bytes, and where they begin."""
     for s in W.slices(column, SLICE):
         yield s.first, column.slice(s.first, s.rows).to_pylist()
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    pieces = load(path)
+def _encode(batches: Iterator[pa.RecordBatch], data, method: str) -> Iterator[pa.RecordBatch]:
+    pieces = _loaded(data)
     for batch in batches:
-        for at, texts in _texts(batch.column(batch.num_columns - 1)):
-            ids, counts, _ = pieces.encode(texts)
+        for at, texts in _texts(batch.column(1)):
+            ids, counts = pieces.encode(texts, method)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:-1]), lists], [*batch.schema.names[:-1], "_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], ["row", "made"])
 
 
-def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    pieces = load(path)
+def _decode(batches: Iterator[pa.RecordBatch], data) -> Iterator[pa.RecordBatch]:
+    pieces = _loaded(data)
     for batch in batches:
-        lists = batch.column(batch.num_columns - 1)
+        lists = batch.column(1)
         counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
         texts = [b.decode("utf-8", "replace") for b in pieces.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "_text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "made"])
 
 
-def _mapped(df: DataFrame, column: str, kind: str, out: str, made: str, work) -> DataFrame:
-    carry = [c for c in df.columns if c != out]
-    wide = df.select(*carry, F.col(column).cast(kind).alias("_in"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in wide.dtypes[:-1]) + f", {made}"
-    return wide.mapInArrow(work, schema).withColumnRenamed(made.split()[0], out)
+def _mapped(df: DataFrame, column: str, kind: str, out: str, made: T.DataType, work) -> DataFrame:
+    """df with `out`, made from a column; its own columns travel as one, so none of their names matters."""
+    schema = T.StructType([T.StructField("row", df.schema), T.StructField("made", made)])
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(column).cast(kind).alias("value")).mapInArrow(work, schema)
+    return rows.select(*(F.col(f"row.`{c}`") for c in df.columns if c != out), F.col("made").alias(out))
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with the ids of each text in a column of their own."""
-    return _mapped(docs, text_col, "string", out, "_ids array<int>", partial(_encode, path=path))
+def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", method: str = "viterbi") -> DataFrame:
+    """docs with the ids of each text in a column of their own. method: viterbi, or merges (a BPE file's own segmentation)."""
+    return _mapped(docs, text_col, "string", out, T.ArrayType(T.IntegerType()), partial(_encode, data=_shipped(docs.sparkSession, path), method=method))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with the text of each list of ids in a column of its own."""
-    return _mapped(rows, ids_col, "array<int>", out, "_text string", partial(_decode, path=path))
+    return _mapped(rows, ids_col, "array<int>", out, T.StringType(), partial(_decode, data=_shipped(rows.sparkSession, path)))
 
 
-def _round_trip(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    pieces = load(path)
+def _round_trip(batches: Iterator[pa.RecordBatch], data, method: str) -> Iterator[pa.RecordBatch]:
+    pieces = _loaded(data)
     for batch in batches:
         for at, texts in _texts(batch.column(1)):
-            ids, counts, best = pieces.encode(texts)
+            ids, counts = pieces.encode(texts, method)
             back = pieces.decode(ids, counts)
             raw, ends = ids.astype("<u4"), np.cumsum(counts)
             sums = [zlib.crc32(raw[b - k : b]) for b, k in zip(ends.tolist(), counts.tolist(), strict=True)]
             same = [b == (t or "").replace("▁", " ").encode("utf-8", "surrogatepass") for b, t in zip(back, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(counts), pa.array(sums, pa.int64()), pa.array(best), pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "n_viterbi_pieces", "decoded_sha256", "round_trip"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(at, len(texts)), pa.array(counts), pa.array(sums, pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array(same)],
+                ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"],
+            )
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, ids_crc32, n_viterbi_pieces, decoded_sha256 and round_trip: every text encoded and decoded again."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", method: str = "viterbi") -> DataFrame:
+    """doc_id, n_ids, ids_crc32, decoded_sha256 and round_trip: every text encoded and decoded again."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(partial(_round_trip, path=path), "doc_id long, n_ids long, ids_crc32 long, n_viterbi_pieces long, decoded_sha256 string, round_trip boolean")
+    work = partial(_round_trip, data=_shipped(docs.sparkSession, path), method=method)
+    return texts.mapInArrow(work, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
 
 
 def default_path() -> str:

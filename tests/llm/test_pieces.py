@@ -37,20 +37,20 @@ def unigram_file(pieces):
     return out + field(2, field(3, P.UNIGRAM) + field(35, 0)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0))
 
 
-def flat(model, given):
-    ids, counts, _ = model.encode(given)
+def flat(model, given, method="viterbi"):
+    ids, counts = model.encode(given, method)
     return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
 
 
-def test_bpe_ids_equal_the_library():
+def test_merges_of_a_bpe_file_equal_the_library():
     library, mine = sentencepiece.SentencePieceProcessor(model_file=PATH), P.load(PATH)
     given = texts()
-    got = flat(mine, given)
+    got = flat(mine, given, "merges")
     for t, ids in zip(given, got, strict=True):
         assert ids == library.encode(t or ""), t
-    ids, counts, _ = mine.encode(given)
-    for t, back in zip(given, mine.decode(ids, counts), strict=True):
-        assert back.decode() == library.decode(library.encode(t or "")), t
+    for method in ("merges", "viterbi"):
+        for t, back in zip(given, mine.decode(*mine.encode(given, method)), strict=True):
+            assert back.decode() == library.decode(library.encode(t or "")), t
 
 
 def test_viterbi_equals_the_library_on_a_unigram_file():
@@ -67,40 +67,74 @@ def test_viterbi_equals_the_library_on_a_unigram_file():
         assert ids == library.encode(t), t
 
 
-def test_viterbi_equals_brute_force():
+def best_sum(pieces, text):
+    best = {0: 0.0}
+    for j in range(1, len(text) + 1):
+        best[j] = max(best[i] + pieces.get(text[i:j], -np.inf) for i in range(max(0, j - 40), j))
+    return best[len(text)]
+
+
+def test_ids_have_the_greatest_sum_of_scores(monkeypatch):
     mine = P.load(PATH)
-    by = dict(zip(mine.ids.tolist(), mine.scores.tolist(), strict=True))
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    pieces = {library.id_to_piece(i): s for i, s in by.items()}
-    for word in ["▁thntblere", "Größe", "abcdefgh", "▁straight"]:
-        best = {0: 0.0}
-        for j in range(1, len(word) + 1):
-            best[j] = max(best[i] + pieces.get(word[i:j], -np.inf) for i in range(j))
-        sizes = mine.viterbi(np.array([[ord(c) for c in word]], np.uint32))[0]
-        at = np.flatnonzero(sizes)
-        assert sum(pieces[word[a : a + n]] for a, n in zip(at.tolist(), sizes[at].tolist(), strict=True)) == best[len(word)]
+    of = dict(zip(mine.ids.tolist(), mine.scores.tolist(), strict=True))
+    pieces = {library.id_to_piece(i): s for i, s in of.items()}
+    given = ["thntblere Größe", "abcdefgh straight", "MERCHANTABILITY" * 30, "ab" * 300, "e" * 700, "=" * 1000]
+    want = [best_sum(pieces, "▁" + t.replace(" ", "▁")) for t in given]
+    for window in (P.WINDOW, 50):
+        monkeypatch.setattr(P, "WINDOW", window)
+        mine.forget()
+        for t, ids, w in zip(given, flat(mine, given), want, strict=True):
+            assert abs(sum(of[i] for i in ids) - w) < 1e-6 and library.decode(ids) == t
+
+
+@pytest.mark.parametrize("method", ["viterbi", "merges"])
+def test_long_and_short_units_are_cut_alike(monkeypatch, method):
+    given = ["abandonmentabcab" * 3, "================" * 3, "日本語日本語" + "é" * 30]
+    mine = P.load(PATH)
+    want = flat(mine, given, method)
+    monkeypatch.setattr(P, "LONG", 5)
+    monkeypatch.setattr(P, "WINDOW", 7)
+    mine.forget()
+    assert flat(mine, given, method) == want
+
 
+def test_a_text_of_megabytes_without_spaces(spark):
+    text = "".join(random.Random(4).choice("abcdefghij") for _ in range(1_500_000)) + "é" * 10
+    row = P.round_trip(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).first()
+    assert row["round_trip"]
 
-def test_long_and_short_units_merge_alike(monkeypatch):
+
+def test_units_with_one_hash_are_told_apart(monkeypatch):
     mine = P.load(PATH)
-    grid = np.array([[ord(c) for c in "abandonmentabcab" * 3], [ord(c) for c in "================" * 3]], np.uint32)
-    want = mine.merges(grid)
-    monkeypatch.setattr(P, "LONG", 5)
-    assert np.array_equal(mine.merges(grid), want)
+    given = ["alpha beta", "gamma delta epsilon", "beta alpha", "a", None]
+    want = flat(mine, given)
+    mine.forget()
+    monkeypatch.setattr(P.W, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    assert flat(mine, given) == want and flat(mine, given[::-1]) == want[::-1]
+
+
+def test_alternating_texts_are_told_apart():
+    """Texts for which a polynomial modulo 2**64 has one value."""
+    mine = P.load(PATH)
+    for n in (1024, 8192):
+        given = ["".join(two[bin(i).count("1") & 1] for i in range(n)) for two in ("ab", "ba")]
+        ids, counts = mine.encode(given)
+        assert [b.decode() for b in mine.decode(ids, counts)] == given
 
 
 def test_operators(spark):
     given = texts(40)
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(given)] + [(None, "a", "x")], "doc_id long, text string, ids string")
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, "y") for i, t in enumerate(given)] + [(None, "a", "x", 1, 2, "y")], "doc_id long, text string, ids string, _ids int, row int, made string")
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    rows = P.encode(docs, PATH, out="pieces")
+    rows = P.encode(docs, PATH, out="pieces", method="merges")
     assert rows.columns == [*docs.columns, "pieces"]
-    assert all(r["pieces"] == library.encode(r["text"] or "") for r in rows.collect())
+    assert all(r["pieces"] == library.encode(r["text"] or "") and r["_ids"] == 1 and r["made"] == "y" for r in rows.collect())
     assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") for r in P.decode(rows, PATH, "pieces").collect())
-    assert P.encode(docs, PATH).columns == ["doc_id", "text", "ids"]
+    assert P.encode(docs, PATH).columns == ["doc_id", "text", "_ids", "row", "made", "ids"]
     checked = P.round_trip(docs, PATH)
     assert checked.count() == len(given) + 1 and checked.where("NOT round_trip").count() == 0
-    assert P.round_trip(docs.limit(0), PATH).count() == 0
+    assert P.round_trip(docs.limit(0), PATH).count() == 0 and P.encode(docs.limit(0), PATH).count() == 0
 
 
 def test_other_normalisers_are_refused():
