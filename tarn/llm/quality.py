@@ -2,17 +2,20 @@
 
 Each rule votes good (1), bad (0) or abstains (null) on a document. Expectation-maximisation
 over the counts of vote patterns (at most 3 to the number of rules, whatever the corpus)
-estimates how accurate each rule is; a document's verdict is the posterior probability that it
-is good given all votes, in place of an all-must-pass filter.
+estimates the share of good documents and, for each rule, how often its vote is right on good and
+on bad documents; a document's verdict is the posterior probability that it is good given all votes,
+in place of an all-must-pass filter: one bad vote of a rule that errs is outvoted.
 
 Defined cases: null text counts as empty; an empty text has no words and fails the base rules;
-a null id is carried through; repeated rows each get their own row; an empty table gives an
-empty result; other columns of the input are ignored.
+a null id is carried through; repeated rows each get their own row; a document on which all rules
+abstain has the share of good documents as its posterior; a posterior equal to the threshold is
+kept; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -90,53 +93,74 @@ def _vote(bad: Column, good: Column) -> Column:
 def default_rules() -> dict[str, Column]:
     """Name of each rule and its vote, over the columns of measures().
 
-    A rule that looks for one flaw says nothing about a text without it, so it abstains there; only
-    a rule that looks at the whole of a text votes good.
+    Each votes both ways and abstains in between: where a flaw is slight, and where a text is too short to show it.
     """
-    n, none = F.col("n_words"), F.lit(False)
+    n, chars, letters = F.col("n_words"), F.col("word_chars"), F.col("n_letters")
+    lines, long = F.col("n_lines"), F.col("n_words") >= 20
     return {
-        "letters": _vote(100 * F.col("n_letters") < 75 * F.col("word_chars"), (n > 0) & (100 * F.col("n_letters") >= 93 * F.col("word_chars"))),
-        "length": _vote(n < 20, none),
-        "symbols": _vote(10 * F.col("n_symbols") > n, none),
-        "lines": _vote(10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), none),
-        "repeats": _vote(100 * F.col("n_repeat_words") > 30 * n, none),
-        "capitals": _vote((2 * F.col("n_upper") > F.col("n_letters")) & (n > 0), none),
-        "bangs": _vote(5 * F.col("n_bangs") > n, none),
+        "length": _vote(n < 20, n >= 60),
+        "letters": _vote(10 * letters < 9 * chars, (n > 0) & (100 * letters >= 94 * chars)),
+        "symbols": _vote(10 * F.col("n_symbols") > n, long & (50 * F.col("n_symbols") <= n)),
+        "lines": _vote(10 * F.col("n_dup_lines") > 3 * lines, (lines >= 4) & (10 * F.col("n_dup_lines") <= lines)),
+        "repeats": _vote(5 * F.col("n_repeat_words") > n, long & (20 * F.col("n_repeat_words") <= n)),
+        "capitals": _vote(10 * F.col("n_upper") > 3 * letters, (n > 0) & (100 * F.col("n_upper") <= 6 * letters)),
+        "bangs": _vote(5 * F.col("n_bangs") > n, long & (50 * F.col("n_bangs") <= n)),
+        "word_length": _vote((10 * chars < 41 * n) | (chars > 7 * n), (n > 0) & (10 * chars >= 45 * n) & (10 * chars <= 58 * n)),
     }
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, balance: float = 0.5, rounds: int = 100, first: float = 0.9, within: tuple[float, float] = (0.55, 0.99)) -> np.ndarray:
-    """The accuracy of each rule, by expectation-maximisation over vote patterns.
+@dataclass(frozen=True)
+class LabelModel:
+    """good, bad: by rule, the chance that its vote is right on good and on bad documents; balance: the share of good ones."""
 
-    patterns: (p, rules) of 1 (good), 0 (bad) and -1 (abstains); counts: documents with each. A rule's
-    accuracy is the chance that its vote is right where it votes. balance: the share of good documents
-    before any vote. Accuracies start at `first` and are kept within bounds: no rule is taken to be
-    worse than chance or beyond doubt. A rule that never votes keeps `first`.
-    """
-    sign = np.where(patterns == 1, 1.0, np.where(patterns == 0, -1.0, 0.0))
-    accuracy = np.full(patterns.shape[1], first)
-    for _ in range(rounds):
-        good = posterior(sign, accuracy, balance)[:, None]
-        right = counts @ np.where(sign > 0, good, np.where(sign < 0, 1 - good, 0.0))
-        voted = counts @ np.abs(sign)
-        accuracy = np.clip(np.where(voted > 0, right / np.maximum(voted, 1), first), *within)
-    return accuracy
+    good: np.ndarray
+    bad: np.ndarray
+    balance: float
+
+    @property
+    def start(self) -> float:
+        """The log odds of a document before any vote."""
+        return float(np.log(self.balance / (1 - self.balance)))
 
+    @property
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """What a good and a bad vote of each rule add to the log odds."""
+        return np.log(self.good / (1 - self.bad)), np.log((1 - self.good) / self.bad)
 
-def posterior(sign: np.ndarray, accuracy: np.ndarray, balance: float) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.log(balance / (1 - balance)) - sign @ np.log(accuracy / (1 - accuracy))))
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        by_good, by_bad = self.weights
+        return 1 / (1 + np.exp(-(self.start + (patterns == 1) @ by_good + (patterns == 0) @ by_bad)))
 
 
-def weak_supervision(measured: DataFrame, rules: dict[str, Column], balance: float = 0.5) -> DataFrame:
+def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
+    """Expectation-maximisation over vote patterns.
+
+    patterns: (p, rules) of 1 (good), 0 (bad) and -1 (abstains); counts: documents with each. It starts from the
+    share of good votes, a bad one counting as three. Each estimate has 10 votes of a prior in it (8 of 10 votes on good
+    documents right, 3 of 10 on bad ones, since most flaws are of other kinds than a rule looks for, 8 of 10
+    documents good), so none is ever 0 or 1 and a rule that never votes adds nothing.
+    """
+    good, bad = (patterns == 1).astype(float), (patterns == 0).astype(float)
+    likely = (good.sum(axis=1) + 1) / (good.sum(axis=1) + 3 * bad.sum(axis=1) + 2)
+    model = LabelModel(np.full(patterns.shape[1], 0.8), np.full(patterns.shape[1], 0.3), 0.8)
+    for _ in range(rounds if len(patterns) else 0):
+        for_good, for_bad = counts * likely, counts * (1 - likely)
+        voted = good + bad
+        model = LabelModel((for_good @ good + 8) / (for_good @ voted + 10), (for_bad @ bad + 3) / (for_bad @ voted + 10), float((for_good.sum() + 8) / (counts.sum() + 10)))
+        likely = model.posterior(patterns)
+    return model
+
+
+def weak_supervision(measured: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Adds vote_<rule> for each rule and posterior, the probability that a document is good."""
     voted = measured.withColumns({f"vote_{k}": v.cast("int") for k, v in rules.items()})
     names = [f"vote_{k}" for k in rules]
     found = voted.groupBy(*names).agg(F.count("*").alias("count")).collect()  # 3 ** len(rules) rows at most
     patterns = np.array([[-1 if r[k] is None else r[k] for k in names] for r in found], int).reshape(-1, len(names))
-    accuracy = label_model(patterns, np.array([r["count"] for r in found], float), balance)
-    total = F.lit(float(np.log(balance / (1 - balance))))
-    for k, weight in zip(names, np.log(accuracy / (1 - accuracy)).tolist(), strict=True):
-        total += F.coalesce(2 * F.col(k) - 1, F.lit(0)) * F.lit(weight)
+    model = label_model(patterns, np.array([r["count"] for r in found], float))
+    total = F.lit(model.start)
+    for k, by_good, by_bad in zip(names, *(w.tolist() for w in model.weights), strict=True):
+        total += F.when(F.col(k) == 1, F.lit(by_good)).when(F.col(k) == 0, F.lit(by_bad)).otherwise(F.lit(0.0))
     return voted.withColumn("posterior", 1 / (1 + F.exp(-total)))
 
 
