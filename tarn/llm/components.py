@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import saved
+from tarn.llm.common import dropped, saved
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,4 +64,5 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(now) == state or not now[0]:
             return e
         state = tuple(now)
-        e = saved(_small_star(_large_star(e).distinct()).distinct(), "links")
+        e, old = saved(_small_star(_large_star(e).distinct()).distinct(), "links"), e
+        dropped(old)

@@ -10,18 +10,21 @@ their own rule out the threshold go; the rest are compared on their full sets, a
 grouped by union-find.
 
 Groups of thousands that share a band are not expanded into pairs. In a few rounds each set is
-compared with the pivots of its bands only (a pivot is drawn anew for each round) and linked sets
-merge into components; afterwards the sets outside a band's largest component are compared with
+compared with one pivot of its bands only and linked sets merge into components; bands whose sets are all
+one component are done with. Afterwards the sets outside a band's largest component are compared with
 every set of another component in that band, so no candidate pair of different components is left
-out. Sets that are equal are one from the start.
+out, and none is compared twice. Sets that are equal (by 128 bits of digest and size) are one from the start.
+
+Texts are read once for their sketches and, where a band of theirs is shared, once more for their
+sets: a bitmap of fixed size tells which these are, so texts themselves are never shuffled.
 
 The chance of missing a link of a similarity of 0.85: (1 - 0.85 ** 5) ** 25 = 4e-7 for all bands,
 and 4e-8 for the sketch. At 0.80: (1 - 0.8 ** 5) ** 25 = 5e-5 for all bands, and 1e-5 for the sketch.
 
 Defined cases: null or wordless text has an empty set and is linked with nothing; with under five
 words, the whole sequence is the one element; rows that share an id are one document; a row
-without id is linked with nothing and has no component; an empty table gives an empty result;
-other columns of the input are ignored.
+without id is linked with nothing and has no component; a very long text draws its signature in parts
+of bounded size; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import words as W
-from tarn.llm.common import saved, table
+from tarn.llm.common import dropped, saved, table
 from tarn.llm.components import components
 
 BANDS, ROWS = 25, 5
@@ -43,6 +46,10 @@ PLACES = BANDS * ROWS
 #: Most of the PLACES one-bit values of two sketches that may differ: 6.3 standard deviations beyond the mean at 0.85, 4.6 at 0.80.
 SKETCH_MOST = 28
 ROUNDS = 5
+#: Elements that draw their values together.
+DRAWN = 1 << 17
+#: Bits of the map of wanted ids, as a power of two: 8 MB, whatever the corpus. The more ids, the more others pass it.
+MAP_BITS = 26
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -53,9 +60,18 @@ def _steps(n: int) -> np.uint64:
 def superminhash(elements: np.ndarray, rows: np.ndarray, n: int, places: int = PLACES) -> np.ndarray:
     """Signatures (n, places) of n sets. elements: distinct 64-bit hashes of each set; rows: the set of each, sorted.
 
-    All sets draw their k-th values together; values are k in the top byte, then 56 random bits.
+    All sets draw their k-th values together, DRAWN elements at a time; values are k in the top byte, then 56 random bits.
     """
     signature = np.full(n * places, _FULL, np.uint64)
+    for at in range(0, len(elements), DRAWN):
+        part = rows[at : at + DRAWN]
+        first, last = int(part[0]), int(part[-1]) + 1
+        _draw(elements[at : at + DRAWN], part - first, last - first, places, signature[first * places : last * places])
+    return signature.reshape(n, places)
+
+
+def _draw(elements: np.ndarray, rows: np.ndarray, n: int, places: int, signature: np.ndarray) -> None:
+    """Lower the values of n signatures, end to end, to those that the elements give them."""
     active, taken, perm = np.arange(len(elements)), None, None
     for k in range(places):
         drawn = elements[active] + _steps(2 * k + 1)
@@ -86,7 +102,6 @@ def superminhash(elements: np.ndarray, rows: np.ndarray, n: int, places: int = P
                 perm[:, step] = held
         elif k > 1:
             perm = perm[going]
-    return signature.reshape(n, places)
 
 
 def shingles(s: W.Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,14 +158,14 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.ListArray.from_arrays(pa.array(edges), pa.array(found.view(np.int64)))], ["id", "elements"])
 
 
-def _may_link(least: int, a: str = "a_", b: str = "b_") -> Column:
-    """By sizes, elements of their own and sketches, the similarity can be least percent.
+def _may_link(least: int, a: str = "a_", b: str = "b_", own: bool = False) -> Column:
+    """By sizes, sketches and (with own) elements of their own, the similarity can be least percent.
 
     An element that no other set holds (own counts them) can't be common, so two sets have at most
     the lesser of n - own in common.
     """
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    most = F.least(n - F.col(f"{a}own"), m - F.col(f"{b}own"))
+    most = F.least(n - F.col(f"{a}own"), m - F.col(f"{b}own")) if own else F.least(n, m)
     return (100 * most >= least * (n + m - most)) & (_differ(a, b) <= SKETCH_MOST)
 
 
@@ -158,9 +173,22 @@ def _differ(a: str = "a_", b: str = "b_") -> Column:
     return F.bit_count(F.col(f"{a}s1").bitwiseXOR(F.col(f"{b}s1"))) + F.bit_count(F.col(f"{a}s2").bitwiseXOR(F.col(f"{b}s2")))
 
 
+def _among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose column is one of ids (column id), and few others: those whose hash has its bit set in a map.
+
+    The map is broadcast, 2 ** (MAP_BITS - 6) words at most, so df isn't shuffled.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
+    words = ids.select(bit("id").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+    words = saved(words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")), "map")
+    found = df.withColumn("bit", bit(column)).join(F.broadcast(words), F.shiftright("bit", 6) == F.col("word"))
+    return found.where(F.expr("(shiftrightunsigned(bits, CAST(bit & 63 AS INT)) & 1L) = 1L")).select(*df.columns)
+
+
 def _links(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have a similarity of least percent or more."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
+    x, y = (_among(sets, "id", pairs.select(F.col(c).alias("id"))).select(F.col("id").alias(c), F.col("elements").alias(name)) for c, name in (("a", "x"), ("b", "y")))
+    both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(100 * common >= least * (F.size("x") + F.size("y") - common)).select("a", "b", "ca", "cb")
 
@@ -168,7 +196,7 @@ def _links(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (id, comp) after the components that links (with columns ca, cb) connect are one."""
     to = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return saved(labels.join(to, labels["comp"] == to["u"], "left").select("id", F.coalesce("v", "comp").alias("comp")), "labels")
+    return saved(labels.join(to.hint("merge"), labels["comp"] == to["u"], "left").select("id", F.coalesce("v", "comp").alias("comp")), "labels")
 
 
 def _prefixed(df: DataFrame, prefix: str, *but: str) -> DataFrame:
@@ -184,34 +212,41 @@ def near_dedup(docs: DataFrame, least: int = 85, size: int = 5, id_col: str = "d
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = saved(texts.mapInArrow(partial(_sketches, size=size), "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, bands array<long>"), "sketches")
     full = known.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = saved(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "s1", "s2", "bands"))), "sets")
-    banded = reps.select("id", F.col("n_shingles").alias("n"), "s1", "s2", F.explode("bands").alias("key"))
+    reps = saved(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("s1", "s2", "bands"))), "sets")
+    banded = reps.select("id", F.explode("bands").alias("key"))
     # what keys of bands are joined with is written first, so that both sides are dealt anew and Spark can split a band that very many sets share
-    shared = saved(banded.groupBy("key").agg(F.count("*").alias("count")).where("count > 1").select("key"), "shared")
-    members = saved(banded.join(shared, "key", "left_semi"), "members")
-    ids = members.select(F.col("id")).distinct()
-    sets = saved(texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").mapInArrow(partial(_sets, size=size), "id long, elements array<long>").distinct(), "elements")
-    single = sets.select("id", F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("count"), F.min("id").alias("id")).where("count = 1")
-    # an id with several texts has elements of all of them here, so nothing is known of a single one
-    several = sets.groupBy("id").agg(F.count("*").alias("count")).where("count > 1").select("id")
-    own = single.groupBy("id").agg(F.count("*").alias("own")).join(several, "id", "left_anti")
-    members = saved(members.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))), "members")
-    labels = ids.select("id", F.col("id").alias("comp"))
+    shared = saved(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    members = saved(banded.join(shared.hint("merge"), "key").select("key", "id", "size"), "members")
+    # how many other sets a set meets in its bands: those that many meet are the likeliest to be what others were made from
+    met = saved(members.groupBy("id").agg(F.sum("size").alias("meets")), "met")
+    sets = saved(_among(texts.where("doc_id IS NOT NULL"), "doc_id", met).mapInArrow(partial(_sets, size=size), "id long, elements array<long>").distinct(), "elements")
+    about = reps.select("id", "n", "s1", "s2").join(met.hint("merge"), "id")
+    rows = saved(members.select("key", "id").join(about.hint("merge"), "id").withColumn("comp", F.col("id")), "rows")
+    dropped(members, shared)
+    labels, checked = met.select("id", F.col("id").alias("comp")), []
     for t in range(ROUNDS):
-        rows = saved(members.join(labels, "id"), "rows") if t else members.withColumn("comp", F.col("id"))
-        # any of the sets with the fewest elements of their own, which others are most likely to be near
-        rank = F.floor(20 * F.col("own") / F.col("n"))
-        pivot = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.xxhash64("id", F.lit(t)).alias("draw"), "id", "n", "own", "s1", "s2", "comp")).alias("p"))
-        pivot = saved(pivot.select("key", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("id", "n", "own", "s1", "s2", "comp"))), "pivots")
-        met = _prefixed(rows, "a_", "key").join(pivot, "key").where((F.col("a_comp") != F.col("b_comp")) & _may_link(least))
-        best = met.groupBy("a_id").agg(F.min(F.struct(_differ().alias("differ"), F.col("b_id").alias("b"), F.col("a_comp").alias("ca"), F.col("b_comp").alias("cb"))).alias("m"))
-        links = saved(_links(best.select(F.col("a_id").alias("a"), "m.b", "m.ca", "m.cb"), sets, least), "found")
+        draw = F.struct(*([F.col("meets")] if t == 0 else [F.floor(F.log2("meets")).alias("meets"), F.xxhash64("id", F.lit(t)).alias("draw")]), "id", "n", "s1", "s2", "comp")
+        pivots = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(draw).alias("p")).where("lo <> hi")
+        pivots = saved(pivots.select("key", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("id", "n", "s1", "s2", "comp"))), "pivots")
+        near = _prefixed(rows, "a_", "key").join(pivots.hint("merge"), "key").where((F.col("a_comp") != F.col("b_comp")) & _may_link(least))
+        near = near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), _differ().alias("differ"), F.col("a_comp").alias("ca"), F.col("b_comp").alias("cb"))
+        best = _unchecked(near, checked).groupBy("a").agg(F.min(F.struct("differ", "b", "ca", "cb")).alias("m"))
+        pairs = saved(best.select("a", "m.b", "m.ca", "m.cb"), "pairs")
+        checked.append(pairs)
+        links = saved(_links(pairs, sets, least), "found")
         if links.isEmpty():
+            dropped(pivots, links)
             break
         labels = _merged(labels, links)
-    labels = _merged(labels, _rest(members, reps, labels, sets, least))
+        # bands with one component are done with
+        now = saved(rows.drop("comp").join(pivots.select("key").hint("merge"), "key").join(labels.hint("merge"), "id"), "rows")
+        dropped(rows, pivots, links)
+        rows = now
+    links = _rest(rows, reps, sets, least, checked)
+    labels = _merged(labels, links)
+    dropped(rows, sets, links, *checked)
     labels = _same_ids(full, reps, labels)
-    groups = reps.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("comp", "id").alias("component_id"))
+    groups = reps.select("d1", "d2", "id").join(labels.hint("merge"), "id", "left").select("d1", "d2", F.coalesce("comp", "id").alias("component_id"))
     linked = full.select("doc_id", "n_shingles", "d1", "d2").join(groups.hint("merge"), ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     alone = known.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -226,26 +261,44 @@ def _same_ids(full: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     return _merged(labels, named.join(named.groupBy("doc_id").agg(F.min("comp").alias("ca")), "doc_id").select("ca", F.col("comp").alias("cb")))
 
 
-def _rest(members: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def _unchecked(pairs: DataFrame, checked: list[DataFrame]) -> DataFrame:
+    """pairs without those that were compared before, either way round."""
+    for done in checked:
+        for way in (("a", "b"), ("b", "a")):
+            pairs = pairs.join(done.select(*(F.col(c).alias(to) for c, to in zip(way, "ab", strict=True))).hint("merge"), ["a", "b"], "left_anti")
+    return pairs
+
+
+def _rest(rows: DataFrame, reps: DataFrame, sets: DataFrame, least: int, checked: list[DataFrame]) -> DataFrame:
     """Links between sets that share a band but not yet a component."""
-    rows = members.join(labels, "id")
-    sizes = labels.groupBy("comp").agg(F.count("*").alias("count"))
-    rows = saved(rows.join(sizes, "comp"), "rows")
-    split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("count", "comp")).alias("m")).where("lo <> hi")
+    by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("count"))
+    split = by_comp.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
     split = saved(split.select("key", F.col("m.comp").alias("major")), "split")
+    left = saved(rows.select("key", "id", "n", "s1", "s2", "comp").join(split.hint("merge"), "key"), "left")
+    ids = saved(left.select("id").distinct(), "ids")
+    # elements that no other of these sets has
+    mine = _among(sets, "id", ids)
+    single = mine.select("id", F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("count"), F.min("id").alias("id")).where("count = 1")
+    # an id with several texts has elements of all of them here, so nothing is known of a single one
+    several = mine.groupBy("id").agg(F.count("*").alias("count")).where("count > 1").select("id")
+    own = saved(single.groupBy("id").agg(F.count("*").alias("own")).join(several, "id", "left_anti"), "own")
     before = F.expr("slice(bands, 1, CAST(array_position(bands, key) AS INT) - 1)")
-    open_ = saved(rows.join(split, "key").join(reps.select("id", "bands"), "id").withColumn("before", before).drop("bands"), "open")
+    open_ = left.join(own.hint("merge"), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    open_ = saved(open_.join(_among(reps, "id", ids).select("id", "bands").hint("merge"), "id").withColumn("before", before).drop("bands"), "open")
     a, b = _prefixed(open_.where("comp <> major"), "a_", "key"), _prefixed(open_, "b_", "key")
     once = ((F.col("b_comp") == F.col("b_major")) | (F.col("a_id") < F.col("b_id"))) & ~F.arrays_overlap("a_before", "b_before")  # in the first band that they share
-    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a_comp") != F.col("b_comp")) & once & _may_link(least))
+    pairs = a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("a_comp") != F.col("b_comp")) & once & _may_link(least, own=True))
     pairs = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_comp").alias("ca"), F.col("b_comp").alias("cb")).distinct()
-    return saved(_links(pairs, sets, least), "found")
+    found = saved(_links(saved(_unchecked(pairs, checked), "pairs"), sets, least), "found")
+    dropped(split, left, own, open_)
+    return found
 
 
 def without_near_copies(docs: DataFrame, least: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with all their columns; rows without id are."""
-    gone = near_dedup(docs, least, size, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = near_dedup(docs, least, size, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    found = docs.alias("d").join(gone.alias("g"), F.col(f"d.`{id_col}`").cast("long") == F.col("g.gone"), "left_anti")
+    return found.select(*(F.col(f"d.`{c}`") for c in docs.columns))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

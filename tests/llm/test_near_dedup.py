@@ -123,3 +123,41 @@ def test_an_id_with_two_texts_keeps_the_links_of_each(spark):
     data = [(i, " ".join(t)) for i, t in ((5, first), (5, other), (7, changed), (9, words("z", 50)))]
     got = N.near_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(5, 100, 5), (5, 500, 5), (7, 100, 5), (9, 46, 9)]
+
+
+def test_signatures_are_drawn_in_parts(monkeypatch):
+    r = np.random.default_rng(6)
+    sizes = [3, 400, 0, 50, 1, 900]
+    elements, rows = r.integers(0, 2**63, sum(sizes)).astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+    whole = N.superminhash(elements, rows, len(sizes))
+    monkeypatch.setattr(N, "DRAWN", 70)
+    assert np.array_equal(N.superminhash(elements, rows, len(sizes)), whole)
+
+
+def test_map_of_ids_loses_none(spark, monkeypatch):
+    df, ids = spark.range(20_000).withColumnRenamed("id", "i"), spark.range(0, 20_000, 97)
+    got = [x["i"] for x in N._among(df, "i", ids).collect()]
+    assert set(range(0, 20_000, 97)) <= set(got) and len(got) < 230
+    monkeypatch.setattr(N, "MAP_BITS", 8)
+    assert set(range(0, 20_000, 97)) <= {x["i"] for x in N._among(df, "i", ids).collect()}
+    assert N._among(df, "i", ids.limit(0)).count() == 0
+
+
+def test_words_for_which_a_polynomial_has_one_value_are_two_words(spark):
+    words = ["".join(two[bin(i).count("1") & 1] for i in range(4096)) for two in ("ab", "ba")]
+    got = N.near_dedup(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(0, 0), (1, 1)]
+
+
+def test_a_long_text_and_its_near_copy(spark):
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300_000)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:-500], "x"])), (3, " ".join(words[:150_000]))]
+    got = N.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_other_columns_do_not_matter(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, 7), (2, "A b", 5, 6, 7), (None, "a b", 5, 6, 7)], "doc_id long, text string, _gone int, gone int, comp int")
+    kept = N.without_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(str(x["doc_id"]) for x in kept.collect()) == ["1", "None"]
