@@ -112,7 +112,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n words that start at each word; the last n - 1 are meaningless."""
     out = np.zeros(len(hashes), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(hashes))):
         out[: len(hashes) - k] = mix(out[: len(hashes) - k] * np.uint64(0xD6E8FEB86659FD93) + hashes[k:])
     return out
 
