@@ -46,9 +46,72 @@ def test_rates_meet_targets_and_match_numpy(spark):
 
 
 def test_copies_realise_rates(spark):
-    df = spark.range(20000).select("id", M.copies(F.col("id"), F.lit(1.32)).alias("c"), M.copies(F.col("id"), F.lit(0.97)).alias("d"), M.copies(F.col("id"), F.lit(0.04)).alias("e"))
-    row = df.agg(F.avg("c"), F.min("d"), F.max("e")).first()
-    assert abs(row[0] - 1.3) < 0.02 and row[1] == 1 and row[2] == 0
+    rates = (1.32, 0.97, 0.04, 0.0, 2.0)
+    row = spark.range(200_000).select(*(M.copies(F.lit(r), "id").alias(f"c{k}") for k, r in enumerate(rates))).agg(*(F.avg(f"c{k}") for k in range(len(rates)))).first()
+    assert all(abs(x - r) < 0.005 for x, r in zip(row, rates, strict=True))
+    nulls = spark.createDataFrame([(None, str(k)) for k in range(1000)], "id long, text string")
+    assert 300 < nulls.where(M.copies(F.lit(0.4), "id", "text") > 0).count() < 500
+
+
+def test_infeasible_targets_and_rest(spark):
+    r = np.random.default_rng(1)
+    p = r.dirichlet([3, 1, 0.3], 400)
+    t = r.integers(1, 50, 400).astype(float)
+    cells = spark.createDataFrame([(float(a), *map(float, b)) for a, b in zip(t, p, strict=True)], "t double, p_0 double, p_1 double, p_2 double").coalesce(1)
+    ps = [F.col(f"p_{i}") for i in range(3)]
+    off = lambda x, target: (p * (t * x)[:, None]).sum(0) - target
+    for share, reached in (([0.8, 0.15, 0.05], True), ([1.0, 0.0, 0.0], False)):
+        target = np.array(share) * t.sum()
+        fit = M.solve(cells, 3, target.tolist())
+        assert fit.at_rest
+        got = np.array([x[0] for x in cells.select(fit.rate(ps)).collect()])
+        assert (got >= 0).all() and np.allclose(off(got, target), fit.off, atol=1e-6 * t.sum())
+        assert (np.abs(fit.off).max() < 1e-4 * t.sum()) == reached
+        assert (np.array(fit.off) ** 2).sum() < 0.1 * (off(np.ones(len(t)), target) ** 2).sum()
+    assert not M.solve(cells, 3, (np.array([0.8, 0.15, 0.05]) * t.sum()).tolist(), rounds=0).at_rest
+
+
+def test_posteriors_match_brute_force(spark):
+    """Naive Bayes over the buckets, counted again by hand."""
+    docs, labels = corpus(300, 3)
+    df, known = spark.createDataFrame(docs, "doc_id long, text string, x string"), dict(x for x in labels if x[0] % 2)
+    domains = ["clean", "junk", "odd"]
+    labelled = spark.createDataFrame(list(known.items()), "id long, domain string")
+    chosen = df.select(F.col("doc_id").alias("id"), "text").join(labelled, "id")
+    telling = {kind: M.lexicon(chosen, domains, kind) for kind in M.KINDS}
+    cut = {"words": lambda t: set(t.lower().replace("(", "").split()), "beginnings": lambda t: {w[:4] for w in t.lower().replace("(", "").split()}}
+    total = sum(known.get(i) is not None for i, *_ in docs)
+    for kind, words_of in telling.items():
+        held = {d: [cut[kind](t) for i, t, _ in docs if known.get(i) == d] for d in domains}
+        for d in domains:
+            every, want = [s for v in held.values() for s in v], []
+            for w in set().union(*every):
+                own, n, whole = sum(w in s for s in held[d]), len(held[d]), sum(w in s for s in every)
+                share = (whole + 1) / (total + 2)
+                if own >= 3 and (own / n - (whole - own) / (total - n)) / np.sqrt(share * (1 - share) * (1 / n + 1 / (total - n))) > 5:
+                    want.append(w)
+            assert sorted(want) == words_of[d]
+    made, buckets = M.features(df, telling, ["doc_id"])
+    rows = [r.asDict() for r in made.collect()]
+    of = {d: [r for r in rows if known.get(r["doc_id"]) == d] for d in domains}
+    got = {r["doc_id"]: r for r in M.rated(df, labelled.withColumnRenamed("id", "doc_id"), dict.fromkeys(domains, 1 / 3)).collect()}
+    for r in rows[:60]:
+        logs = []
+        for d in domains:
+            log = np.log((len(of[d]) + 1) / (total + 3))
+            for k, size in buckets.items():
+                log += np.log((sum(x[k] == r[k] for x in of[d]) + 0.5) / (len(of[d]) + 0.5 * size))
+            logs.append(log)
+        p = np.exp(np.array(logs) - max(logs))
+        assert np.allclose(p / p.sum(), [got[r["doc_id"]][f"p_{d}"] for d in domains], atol=1e-9)
+
+
+def test_other_columns_do_not_matter(spark):
+    docs, labels = corpus(200, 4)
+    names = ["n_tokens", "rate", "row", "key", "body", "_id", "_text", "f_words", "drawn", "p_clean"]
+    df = spark.createDataFrame([(i, t, *range(len(names))) for i, t, _ in docs], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = M.mixed(df, spark.createDataFrame(labels, "doc_id long, domain string"), {"clean": 0.95, "junk": 0.05}, "clean")
+    assert out.columns == df.columns and 0 < out.count() < len(docs) and out.join(df, df.columns, "left_semi").count() == out.count()
 
 
 def test_plan_has_no_python(spark):
