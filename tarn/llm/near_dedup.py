@@ -158,14 +158,14 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.ListArray.from_arrays(pa.array(edges), pa.array(found.view(np.int64)))], ["id", "elements"])
 
 
-def _may_link(least: int, a: str = "a_", b: str = "b_", own: bool = False) -> Column:
-    """By sizes, sketches and (with own) elements of their own, the similarity can be least percent.
+def _may_link(least: int, a: str = "a_", b: str = "b_") -> Column:
+    """By sizes, elements of their own and sketches, the similarity can be least percent.
 
     An element that no other set holds (own counts them) can't be common, so two sets have at most
     the lesser of n - own in common.
     """
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    most = F.least(n - F.col(f"{a}own"), m - F.col(f"{b}own")) if own else F.least(n, m)
+    most = F.least(n - F.col(f"{a}own"), m - F.col(f"{b}own"))
     return (100 * most >= least * (n + m - most)) & (_differ(a, b) <= SKETCH_MOST)
 
 
@@ -220,14 +220,21 @@ def near_dedup(docs: DataFrame, least: int = 85, size: int = 5, id_col: str = "d
     # how many other sets a set meets in its bands: those that many meet are the likeliest to be what others were made from
     met = saved(members.groupBy("id").agg(F.sum("size").alias("meets")), "met")
     sets = saved(_among(texts.where("doc_id IS NOT NULL"), "doc_id", met).mapInArrow(partial(_sets, size=size), "id long, elements array<long>").distinct(), "elements")
-    about = reps.select("id", "n", "s1", "s2").join(met.hint("merge"), "id")
+    # elements that no other of these sets has
+    single = sets.select("id", F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("count"), F.min("id").alias("id")).where("count = 1")
+    # an id with several texts has elements of all of them here, so nothing is known of a single one
+    several = sets.groupBy("id").agg(F.count("*").alias("count")).where("count > 1").select("id")
+    own = saved(single.groupBy("id").agg(F.count("*").alias("own")).join(several, "id", "left_anti"), "own")
+    about = reps.select("id", "n", "s1", "s2").join(met.hint("merge"), "id").join(own.hint("merge"), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     rows = saved(members.select("key", "id").join(about.hint("merge"), "id").withColumn("comp", F.col("id")), "rows")
-    dropped(members, shared)
+    dropped(members, shared, own)
     labels, checked = met.select("id", F.col("id").alias("comp")), []
     for t in range(ROUNDS):
-        draw = F.struct(*([F.col("meets")] if t == 0 else [F.floor(F.log2("meets")).alias("meets"), F.xxhash64("id", F.lit(t)).alias("draw")]), "id", "n", "s1", "s2", "comp")
+        # any of the sets with the fewest elements of their own, which others are most likely to be near
+        rank = (-F.floor(20 * F.col("own") / F.col("n"))).alias("rank")
+        draw = F.struct(rank, (F.col("meets") if t == 0 else F.xxhash64("id", F.lit(t))).alias("draw"), "id", "n", "own", "s1", "s2", "comp")
         pivots = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(draw).alias("p")).where("lo <> hi")
-        pivots = saved(pivots.select("key", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("id", "n", "s1", "s2", "comp"))), "pivots")
+        pivots = saved(pivots.select("key", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("id", "n", "own", "s1", "s2", "comp"))), "pivots")
         near = _prefixed(rows, "a_", "key").join(pivots.hint("merge"), "key").where((F.col("a_comp") != F.col("b_comp")) & _may_link(least))
         near = near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), _differ().alias("differ"), F.col("a_comp").alias("ca"), F.col("b_comp").alias("cb"))
         best = _unchecked(near, checked).groupBy("a").agg(F.min(F.struct("differ", "b", "ca", "cb")).alias("m"))
@@ -274,23 +281,16 @@ def _rest(rows: DataFrame, reps: DataFrame, sets: DataFrame, least: int, checked
     by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("count"))
     split = by_comp.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
     split = saved(split.select("key", F.col("m.comp").alias("major")), "split")
-    left = saved(rows.select("key", "id", "n", "s1", "s2", "comp").join(split.hint("merge"), "key"), "left")
-    ids = saved(left.select("id").distinct(), "ids")
-    # elements that no other of these sets has
-    mine = _among(sets, "id", ids)
-    single = mine.select("id", F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("count"), F.min("id").alias("id")).where("count = 1")
-    # an id with several texts has elements of all of them here, so nothing is known of a single one
-    several = mine.groupBy("id").agg(F.count("*").alias("count")).where("count > 1").select("id")
-    own = saved(single.groupBy("id").agg(F.count("*").alias("own")).join(several, "id", "left_anti"), "own")
     before = F.expr("slice(bands, 1, CAST(array_position(bands, key) AS INT) - 1)")
-    open_ = left.join(own.hint("merge"), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    open_ = saved(open_.join(_among(reps, "id", ids).select("id", "bands").hint("merge"), "id").withColumn("before", before).drop("bands"), "open")
+    left = rows.drop("meets").join(split.hint("merge"), "key")
+    bands = _among(reps, "id", left.select("id")).select("id", "bands").hint("merge")
+    open_ = saved(left.join(bands, "id").withColumn("before", before).drop("bands"), "open")
     a, b = _prefixed(open_.where("comp <> major"), "a_", "key"), _prefixed(open_, "b_", "key")
     once = ((F.col("b_comp") == F.col("b_major")) | (F.col("a_id") < F.col("b_id"))) & ~F.arrays_overlap("a_before", "b_before")  # in the first band that they share
-    pairs = a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("a_comp") != F.col("b_comp")) & once & _may_link(least, own=True))
+    pairs = a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("a_comp") != F.col("b_comp")) & once & _may_link(least))
     pairs = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_comp").alias("ca"), F.col("b_comp").alias("cb")).distinct()
     found = saved(_links(saved(_unchecked(pairs, checked), "pairs"), sets, least), "found")
-    dropped(split, left, own, open_)
+    dropped(split, open_)
     return found
 
 
