@@ -10,12 +10,16 @@ and their declared lengths alone, and makes up what WARC has and ARC has not: re
 UUIDs of URL, date and digest, so a conversion repeated gives the same), W3C timestamps, record types, and
 digests of block and payload. Of records with equal payloads one is a response, the others revisit it.
 
+The archive's address becomes WARC-IP-Address; where a record has no HTTP head, its content type stays its own. A
+checksum of version 2 that is a SHA-1 in base32 is held against the body.
+
 Files are compressed with gzip, written by Spark's text writer, whose line separator is the format's own record
-end, and read by its binary reader, so they can be in any store that Spark reaches. Conversion reads them
-twice: first for digests, which decide on record types, then to write.
+end, and read by its binary reader, so they can be in any store that Spark reaches. A file is closed at FILE_BYTES, or
+after one record larger than that. Conversion reads them twice: first for digests, which decide on record types, then to
+write.
 
 Defined cases: null HTML counts as empty; a null URL is written as -; bytes that a header line can't hold are
-percent-encoded; a null page id is the smallest of its group; of rows that repeat a page id and payload one
+percent-encoded; a record without X-Page-Id has no page id; a null page id is the smallest of its group; of rows that repeat a page id and payload one
 is the response; an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -28,6 +32,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from urllib.parse import quote
 
 import pandas as pd
@@ -48,8 +53,8 @@ ARC_TITLES = {
 }
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the RFC 4122 name space of URLs
 END = "\r\n\r\n"
-#: The most records of a WARC file.
-RECORDS = 5000
+#: A file is closed once it has so many bytes, uncompressed.
+FILE_BYTES = 8_000_000
 
 
 def base32_sha1(data: bytes) -> str:
@@ -94,6 +99,8 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         body = data[end + 1 : end + 1 + size]
         if len(body) < size:
             raise ValueError("a record is shorter than it says")
+        if re.fullmatch("[A-Z2-7]{32}", header.get("checksum", "")) and header["checksum"] != base32_sha1(body):
+            raise ValueError("a record's body doesn't have its checksum")
         at = end + 1 + size
         if not line.startswith("filedesc://"):
             yield header, body
@@ -127,11 +134,21 @@ class Record:
     head: bytes
     payload: bytes
     fields: dict[str, str] = field(default_factory=dict)
+    kind: str = "application/octet-stream"
 
     def serialised(self) -> bytes:
         """The record without the line breaks that end it."""
         body = self.head + self.payload
-        lines = [f"WARC-Type: {self.type}", f"WARC-Record-ID: {self.id}", f"WARC-Date: {self.date}", f"WARC-Target-URI: {self.url}", *(f"{k}: {v}" for k, v in self.fields.items()), f"WARC-Block-Digest: sha1:{base32_sha1(body)}", f"Content-Type: {'application/http; msgtype=response' if self.head else 'application/octet-stream'}", f"Content-Length: {len(body)}"]
+        lines = [
+            f"WARC-Type: {self.type}",
+            f"WARC-Record-ID: {self.id}",
+            f"WARC-Date: {self.date}",
+            f"WARC-Target-URI: {self.url}",
+            *(f"{k}: {v}" for k, v in self.fields.items()),
+            f"WARC-Block-Digest: sha1:{base32_sha1(body)}",
+            f"Content-Type: {'application/http; msgtype=response' if self.head else self.kind}",
+            f"Content-Length: {len(body)}",
+        ]
         return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + body
 
 
@@ -158,28 +175,43 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, body
 
 
-def _arc_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages as ARC records, with the version block first; tasks take turns at the versions."""
+def _arc_files(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Whole ARC files, a row for each; they take turns at the versions."""
     from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId()
-    version, name, date, first = 1 + part % 2, f"part-{part:05d}.arc", "20240601120000", True
+    part, date = TaskContext.get().partitionId(), "20240601120000"
+    out: list[bytes] = []
+    held = made = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            rows = [c.slice(at, 500).to_pylist() for c in batch.columns]
-            out = [arc_version_block(version, name, date)] if first else []
-            first = False
-            for page, url, html in zip(*rows, strict=True):
+            for page, url, html in zip(*(c.slice(at, 500).to_pylist() for c in batch.columns), strict=True):
+                version, name = 1 + (part + made) % 2, f"part-{part:05d}-{made:05d}.arc"
+                if not out:
+                    out.append(arc_version_block(version, name, date))
                 payload = (html or "").encode()
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {'' if page is None else page}\r\n\r\n".encode()
                 out.append(arc_record(version, url, "192.0.2.1", date, head + payload, name=name))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                held += len(out[-1])
+                if held >= limit:
+                    yield _file(b"\n".join(out))
+                    out, held, made = [], 0, made + 1
+    if out:
+        yield _file(b"\n".join(out))
+
+
+def _file(content: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["value"])
+
 
+def _write_files(rows: DataFrame, to: str, end: str) -> None:
+    """A file for each row (value), which the separator ends."""
+    rows.select(F.col("value").cast("string")).write.option("lineSep", end).option("maxRecordsPerFile", 1).option("compression", "gzip").text(to)
 
-def write_arc(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write pages as ARC files, one for each partition."""
+
+def write_arc(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> None:
+    """Write pages as ARC files of about file_bytes."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rows.mapInArrow(_arc_files, "value binary").select(F.col("value").cast("string")).write.option("compression", "gzip").text(to)
+    _write_files(rows.mapInArrow(partial(_arc_files, limit=file_bytes), "value binary"), to, "\n")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -201,31 +233,40 @@ def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=["path", "at", "number", "url", "date", "digest", "bytes"])
 
 
-def _to_warc(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _to_warc(frames: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for content, revisits in zip(frame["content"], frame["revisits"], strict=True):
             of = {r["at"]: r for r in revisits} if revisits is not None else {}
-            out, held = [], 0
+            out: list[bytes] = []
+            held = 0
             for at, (header, body) in enumerate(parse_arc(gzip.decompress(content))):
-                head, payload = split_http(body)
-                url, date, digest = header["url"], timestamp(header["date"]), base32_sha1(payload)
-                mine = record_id(url, date, digest, http_field(head, "X-Page-Id") or "")
-                fields = {"WARC-Payload-Digest": f"sha1:{digest}"}
-                if at in of:
-                    r = of[at]
-                    fields |= {"WARC-Refers-To": record_id(r["url"], r["date"], digest, r["number"] or ""), "WARC-Refers-To-Target-URI": r["url"], "WARC-Refers-To-Date": r["date"], "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-                    out.append(Record("revisit", url, date, mine, head, b"", fields).serialised())
-                else:
-                    out.append(Record("response", url, date, mine, head, payload, fields).serialised())
-                held += len(body)
-                if held > 4_000_000:
-                    yield pd.DataFrame({"value": out})
+                out.append(converted(header, body, of.get(at)).serialised())
+                held += len(out[-1])
+                if held >= limit:
+                    yield pd.DataFrame({"value": [END.encode().join(out)]})
                     out, held = [], 0
-            yield pd.DataFrame({"value": out})
+            if out:
+                yield pd.DataFrame({"value": [END.encode().join(out)]})
+
+
+def converted(header: dict[str, str], body: bytes, of: dict[str, str] | None = None) -> Record:
+    """An ARC record as a WARC response, or as a revisit of another record (its url, date and number)."""
+    head, payload = split_http(body)
+    url, date, digest = header["url"], timestamp(header["date"]), base32_sha1(payload)
+    mine = record_id(url, date, digest, http_field(head, "X-Page-Id") or "")
+    fields = {"WARC-IP-Address": header["ip"], "WARC-Payload-Digest": f"sha1:{digest}"}
+    if of is not None:
+        fields |= {
+            "WARC-Refers-To": record_id(of["url"], of["date"], digest, of["number"] or ""),
+            "WARC-Refers-To-Target-URI": of["url"],
+            "WARC-Refers-To-Date": of["date"],
+            "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+        }
+    return Record("response" if of is None else "revisit", url, date, mine, head, payload if of is None else b"", fields, header["type"])
 
 
-def arc_to_warc(spark: SparkSession, arc: str, to: str, least: int = 0) -> None:
-    """Convert the ARC files of a folder to WARC files in another.
+def arc_to_warc(spark: SparkSession, arc: str, to: str, least: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Convert the ARC files of a folder to WARC files of about file_bytes in another.
 
     Of records whose payloads are equal and have `least` bytes or more, that with the largest page id (else the
     last in the order of the files) is a response; the others revisit it.
@@ -237,7 +278,7 @@ def arc_to_warc(spark: SparkSession, arc: str, to: str, least: int = 0) -> None:
     revisits = found.select("path", "at", *key).join(saved(last, "payloads"), key).where((F.col("at") != F.col("of.at")) | (F.col("path") != F.col("of.path")))
     by_file = revisits.groupBy("path").agg(F.collect_list(F.struct("at", F.col("of.url").alias("url"), F.col("of.date").alias("date"), F.col("of.number").alias("number"))).alias("revisits"))
     ready = files.join(by_file, "path", "left").select("content", "revisits")
-    ready.mapInPandas(_to_warc, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(to)
+    _write_files(ready.mapInPandas(partial(_to_warc, limit=file_bytes), "value binary"), to, END)
 
 
 def _from_warc(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,12 +304,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(_from_warc, "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to_id string")
 
 
-def archived(pages: DataFrame, least: int = 0) -> DataFrame:
+def archived(pages: DataFrame, least: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write pages to ARC, convert to WARC and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     arc, warc = new_dir(spark, "arc"), new_dir(spark, "warc")
-    write_arc(pages, arc)
-    arc_to_warc(spark, arc, warc, least)
+    write_arc(pages, arc, file_bytes=file_bytes)
+    arc_to_warc(spark, arc, warc, least, file_bytes)
     rows = saved(read_warc(spark, warc), "warc-index")
     of = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).dropDuplicates(["refers_to_id"])
     return rows.join(of.hint("merge"), "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,5 +1,8 @@
 import base64
+import glob
+import gzip
 import hashlib
+from pathlib import Path
 
 import pytest
 
@@ -13,10 +16,11 @@ def rows():
     return [*out, (100, None, ""), (None, "http://n/", "alone"), (101, "http://h/1", "same url"), (102, "http://h/1", "same url")]
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("file_bytes", [A.FILE_BYTES, 1000])
+def test_matches_brute_force(spark, file_bytes):
     data = rows()
     pages = spark.createDataFrame([(*r, "x") for r in data], "page_id long, url string, html string, digest string").repartition(3)
-    got = sorted(map(tuple, A.archived(pages).collect()), key=str)
+    got = sorted(map(tuple, A.archived(pages, file_bytes=file_bytes).collect()), key=str)
     want = []
     for i, _, h in data:
         same = [j for j, _, g in data if (g or "") == (h or "")]
@@ -47,6 +51,37 @@ def test_arc_of_either_version(version):
         list(A.parse_arc(other))
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_what_arc_knows_goes_into_warc(version):
+    page = b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nhi"
+    data = b"\n".join([A.arc_version_block(version, "f.arc", "20010203040506"), A.arc_record(version, "http://a/", "192.0.2.7", "20010203040506", page), A.arc_record(version, "http://a/x.gif", "192.0.2.8", "20010203", b"GIF89a", "image/gif")])
+    records = [A.converted(*x) for x in A.parse_arc(data)]
+    fields = [next(A.parse_warc(r.serialised() + A.END.encode()))[0] for r in records]
+    assert [f["warc-ip-address"] for f in fields] == ["192.0.2.7", "192.0.2.8"]
+    assert [f["content-type"] for f in fields] == ["application/http; msgtype=response", "image/gif"]
+    assert [f["warc-date"] for f in fields] == ["2001-02-03T04:05:06Z", "2001-02-03T00:00:00Z"]
+    revisit = A.converted(*next(A.parse_arc(data)), {"url": "http://b/", "date": "2001-02-03T04:05:06Z", "number": None})
+    fields, body = next(A.parse_warc(revisit.serialised() + A.END.encode()))
+    assert fields["warc-type"] == "revisit" and fields["warc-refers-to-target-uri"] == "http://b/" and body == page[:-2]
+    if version == 2:
+        with pytest.raises(ValueError, match="checksum"):
+            list(A.parse_arc(data.replace(b"GIF89a", b"GIF87a")))
+
+
+def test_archives_of_others_and_sizes_of_files(spark, tmp_path):
+    """Records without a page id, in a file that this module didn't write."""
+    bodies = [b"HTTP/1.1 200 OK\r\n\r\none", b"plain", b"HTTP/1.1 200 OK\r\n\r\none"]
+    (tmp_path / "arc").mkdir()
+    with gzip.open(tmp_path / "arc" / "part-1.arc.gz", "wb") as file:
+        file.write(b"\n".join([A.arc_version_block(1, "f.arc", "20010203040506"), *(A.arc_record(1, f"http://a/{i}", "1.2.3.4", "20010203040506", b) for i, b in enumerate(bodies))]) + b"\n\n")
+    A.arc_to_warc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = sorted((r["payload_bytes"], r["record_type"], r["page_id"]) for r in A.read_warc(spark, str(tmp_path / "warc")).where("record_type = 'response'").collect())
+    assert got == [(3, "response", None), (5, "response", None)] and A.read_warc(spark, str(tmp_path / "warc")).count() == 3
+    A.write_arc(spark.createDataFrame([(i, "u", "x" * 400) for i in range(100)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "own"), file_bytes=5000)
+    sizes = [len(gzip.decompress(Path(f).read_bytes())) for f in glob.glob(str(tmp_path / "own" / "part-*"))]
+    assert len(sizes) > 5 and max(sizes) < 6500
+
+
 def test_made_up_fields():
     assert A.timestamp("20010203040506") == "2001-02-03T04:05:06Z" and A.timestamp("200102") == "2001-02-01T00:00:00Z"
     assert A.record_id("u", "d", "x") == A.record_id("u", "d", "x") != A.record_id("u", "d", "y")
