@@ -1,18 +1,24 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Texts confirmed to be toxic are the positives; texts drawn from all the training rows are the
-unlabelled ones, whatever their label says. A numpy classifier over hashed words minimises the risk estimator
+Texts confirmed to be toxic are the positives; all texts of the training folds are the unlabelled ones,
+whatever their label says. A numpy classifier over hashed words minimises the risk estimator
 
     prior * E_P[loss(+)]  +  max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 
 whose second part, the risk on negatives, is corrected for the toxic texts among the unlabelled and
-kept from falling below zero. Fitting uses a bounded sample of rows (max_rows, in the order of a
-hash of their ids); scoring covers every whole text of the table.
+kept from falling below zero. No negative label is ever looked at: the class prior comes from the scores of
+the unlabelled, as the least ratio of the share of them over a threshold to that of positives over it.
+
+Only the number of positives is bounded (max_positives, in the order of a hash of their ids); the risk on the
+unlabelled is summed over every text of the training folds, by tasks, for each step. Texts are read once for training:
+of each, the buckets that several positives have are kept, and then those that positives have more often
+than the unlabelled. Scoring covers every whole text of the table.
 
 Defined cases: null text counts as empty; a text without words gets the score of the bias alone; a
-null id is in fold crc32('') mod 4; repeated rows each get their own row; rows of the labels with a
-null id or label are not used; an empty table gives an empty result; without any positive label all
-scores are 0; other columns of the input are ignored (score) or carried along (without_toxic).
+null id is in fold crc32('') mod 4, and such rows are unlabelled texts too; repeated rows each get their own row; rows
+of the labels with a null id or label are not used; a score equal to the threshold is predicted toxic; an empty
+table gives an empty result; without any positive label all scores are 0; other columns of the input, whatever
+their names, are ignored (toxicity) or carried along (without_toxic).
 """
 
 from __future__ import annotations
@@ -25,13 +31,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from tarn.llm import words as W
-from tarn.llm.common import fold_of, table
+from tarn.llm.common import dropped, fold_of, saved, table
 
 BITS = 20
 PREFIXES = (3, 4, 5, 6, 8)
-MAX_ROWS = 8_000
+MAX_POSITIVES = 4_000
+#: A bucket is looked at if so many positives have it.
+LEAST = 3
+STEPS, RATE, DECAY = 30, 0.3, 1e-5
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
@@ -72,109 +82,210 @@ def features(s: W.Slice, bits: int = BITS, of_use: np.ndarray | None = None) ->
     return found & ((1 << bits) - 1), found >> bits
 
 
-def telling(buckets: np.ndarray, rows: np.ndarray, positive: np.ndarray, bits: int, least: int = 3, sigmas: float = 5.0) -> np.ndarray:
-    """Flags of the buckets that more of the positive texts hold than of the unlabelled, beyond chance."""
-    size = 1 << bits
-    p, u = np.bincount(buckets[positive[rows]], minlength=size), np.bincount(buckets[~positive[rows]], minlength=size)
-    n, m = positive.sum(), (~positive).sum()
+def telling(p: np.ndarray, u: np.ndarray, n: int, m: int, sigmas: float = 5.0) -> np.ndarray:
+    """Flags of the buckets that more of n positive texts hold (p by bucket) than of m unlabelled (u), beyond chance."""
     share = (p + u + 1) / (n + m + 2)
-    return (p >= least) & (p / n - u / m > sigmas * np.sqrt(share * (1 - share) * (1 / n + 1 / m)))
+    return (p >= LEAST) & (p / max(n, 1) - u / max(m, 1) > sigmas * np.sqrt(share * (1 - share) * (1 / max(n, 1) + 1 / max(m, 1))))
 
 
 def margins(model: Model, buckets: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, weights=model.weights[buckets], minlength=n) + model.bias
 
 
-def fit(buckets: np.ndarray, rows: np.ndarray, positive: np.ndarray, prior: float, bits: int = BITS, steps: int = 300, rate: float = 0.03, decay: float = 1e-4) -> Model:
-    """Adam on the non-negative risk of the logistic loss over all rows at once.
+@dataclass(frozen=True)
+class Texts:
+    """Columns (numbers from 0 on) that texts have, a run of texts for each number of times that they occur."""
+
+    columns: np.ndarray
+    rows: np.ndarray
+    counts: np.ndarray
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.bincount(self.rows, weights=x[self.columns], minlength=len(self.counts)) + x[-1], -30, 30)
+
+    def risk(self, x: np.ndarray) -> np.ndarray:
+        """Sums over the texts: of loss(-), its gradient by x, and the number of texts.
+
+        The loss is logistic: loss(-) = log(1 + exp(margin)), loss(+) = loss(-) - margin.
+        """
+        margin = self.margins(x)
+        score = self.counts / (1 + np.exp(-margin))
+        gradient = np.bincount(self.columns, weights=score[self.rows], minlength=len(x) - 1)
+        return np.concatenate([[self.counts @ np.log1p(np.exp(margin))], gradient, [score.sum(), self.counts.sum()]])
+
+    def present(self, size: int) -> np.ndarray:
+        """How many texts have each column, and how many texts there are: what loss(+) adds is linear in x."""
+        return np.concatenate([np.bincount(self.columns, weights=self.counts[self.rows], minlength=size), [self.counts.sum()]])
+
+
+def descend(positives: Texts, unlabelled, size: int, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> np.ndarray:
+    """Weights of `size` columns and the bias, by Adam on the non-negative risk.
 
-    rows: the text of each bucket, sorted; positive: which texts are confirmed, all others being unlabelled.
-    At the end the bias is moved until the scores of the unlabelled have the class prior as their mean.
+    unlabelled: a function of x that gives the sums of Texts.risk over all unlabelled texts.
     """
-    n, size = len(positive), 1 << bits
-    if not positive.any() or positive.all():
-        return Model(np.zeros(size), -500.0 if not positive.any() else 500.0)
-    keep = telling(buckets, rows, positive, bits)[buckets]
-    columns, col = np.unique(buckets[keep], return_inverse=True)
-    of, unlabelled = rows[keep], ~positive
-    n_p, n_u = positive.sum(), unlabelled.sum()
-    prior = min(max(prior, 1e-6), 1 - 1e-6)
-    x, m, v = np.append(np.zeros(len(columns)), -2.0), np.zeros(len(columns) + 1), np.zeros(len(columns) + 1)
+    x, m, v = np.append(np.zeros(size), -2.0), np.zeros(size + 1), np.zeros(size + 1)
+    n, held = positives.counts.sum(), positives.present(size) / positives.counts.sum()
     for step in range(1, steps + 1):
-        margin = np.clip(np.bincount(of, weights=x[col], minlength=n) + x[-1], -30, 30)
-        score = 1 / (1 + np.exp(-margin))
-        minus = np.log1p(np.exp(margin))
-        # derivatives by the margin: of loss(+) score - 1, of loss(-) score
-        by_margin = np.where(positive, prior * (score - 1) / n_p, 0.0)
-        if minus[unlabelled].mean() >= prior * minus[positive].mean():
-            by_margin += np.where(positive, -prior * score / n_p, score / n_u)
-        gradient = np.append(np.bincount(col, weights=by_margin[of], minlength=len(columns)) + decay * x[:-1], by_margin.sum())
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    margin = np.bincount(of, weights=x[col], minlength=n)[unlabelled]
-    low, high = -30.0, 30.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (1 / (1 + np.exp(-np.clip(margin + mid, -500, 500)))).mean() < prior else (low, mid)
-    out = np.zeros(size)
-    out[columns] = x[:-1]
-    return Model(out, low)
+        on_p, on_u = positives.risk(x), unlabelled(x)
+        minus_p, minus_u = on_p[1:-1] / n, on_u[1:-1] / on_u[-1]
+        gradient = prior * (minus_p - held)
+        if on_u[0] / on_u[-1] >= prior * on_p[0] / n:
+            gradient += minus_u - prior * minus_p
+        gradient[:-1] += decay * x[:-1]
+        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
+        x = x - rate / (1 + step / 20) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return x
+
+
+def class_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from counts by rising score of either.
+
+    Over any threshold the unlabelled can't hold fewer positives than the share times what positives have there, so the
+    least ratio is the share; thresholds that under half of the positives pass are too uncertain, and a standard
+    deviation of each count is allowed for.
+    """
+    p, u = (np.cumsum(x[::-1])[::-1] for x in (positives, unlabelled))
+    n, m = max(p[0], 1), max(u[0], 1)
+    use = p >= n / 2
+    return float(np.min((u[use] + np.sqrt(u[use])) / m / np.maximum((p[use] - np.sqrt(p[use])) / n, 1e-9))) if use.any() else 0.0
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _buckets(batches: Iterator[pa.RecordBatch], bits: int, of_use) -> Iterator[pa.RecordBatch]:
+    """The first column and the buckets of use of each text."""
+    flags = None if of_use is None else np.unpackbits(of_use.value).astype(bool)
     for batch in batches:
-        for s in W.slices(batch.column(0)):
-            found, rows = features(s, bits)
+        for s in W.slices(batch.column(1)):
+            found, rows = features(s, bits, flags)
             edges = np.searchsorted(rows, np.arange(s.rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(s.first, s.rows), pa.ListArray.from_arrays(pa.array(edges), pa.array(found.astype(np.int32)))], ["toxic", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.ListArray.from_arrays(pa.array(edges), pa.array(found.astype(np.int32)))], ["toxic", "buckets"])
+
+
+def _columns(batches: Iterator[pa.RecordBatch], place) -> Iterator[pa.RecordBatch]:
+    """The columns, in order, of lists of buckets."""
+    for batch in batches:
+        lists = batch.column(0)
+        found = place.value[lists.flatten().to_numpy(zero_copy_only=False)]
+        rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))[found >= 0]
+        edges = np.searchsorted(rows, np.arange(len(lists) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(edges), pa.array(found[found >= 0]))], ["columns"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = 4, held_out: int = 2, bits: int = BITS) -> Model:
+def _texts(batch: pa.RecordBatch) -> Texts:
+    """From a batch of columns (a list) and counts."""
+    lists = batch.column(0)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return Texts(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), sizes), batch.column(1).to_numpy().astype(float))
+
+
+def _risks(batches: Iterator[pa.RecordBatch], x) -> Iterator[pa.RecordBatch]:
+    """A task's sums of Texts.risk, by place."""
+    total = sum((_texts(b).risk(x.value) for b in batches), np.zeros(len(x.value) + 2))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "sum"])
+
+
+GRADES = 2000
+
+
+def _grades(texts: Texts, x: np.ndarray) -> np.ndarray:
+    """Counts of texts by grade of their margin, from -30 to 30."""
+    return np.bincount(np.minimum((texts.margins(x) + 30) / 60 * GRADES, GRADES - 1).astype(np.int64), weights=texts.counts, minlength=GRADES)
+
+
+def _graded(batches: Iterator[pa.RecordBatch], x) -> Iterator[pa.RecordBatch]:
+    total = sum((_grades(_texts(b), x.value) for b in batches), np.zeros(GRADES))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "sum"])
+
+
+def _summed(texts: DataFrame, work, x: np.ndarray, size: int) -> np.ndarray:
+    """What `work` adds up in each task over the texts, added up over all tasks."""
+    out, shared = np.zeros(size), texts.sparkSession.sparkContext.broadcast(x)
+    for r in texts.mapInArrow(partial(work, x=shared), "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).collect():
+        out[r["at"]] = r["sum"]
+    shared.destroy()
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, folds: int = 4, held_out: int = 2, bits: int = BITS) -> Model:
     """A model of the rows outside the held-out fold.
 
-    Fitted on at most max_rows texts: half of them confirmed positives, half unlabelled (drawn from all
-    texts, confirmed or not); of each, those least by the hash of their id. The class prior is the share
-    of toxic labels among all training labels; no single negative label is looked at.
+    Positives are at most max_positives texts, those least by the hash of their id; unlabelled are all texts.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    known = known.where(fold_of(F.col("doc_id"), folds) != held_out)
-    prior = known.agg(F.avg("toxic")).first()[0] or 0.0
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    pools = (known.where("toxic = 1").select("doc_id").distinct(), texts.select("doc_id").where(fold_of(F.col("doc_id"), folds) != held_out))
-    chosen = [pool.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2).withColumn("toxic", F.lit(k)) for k, pool in zip((1, 0), pools, strict=True)]
-    ids = chosen[0].union(chosen[1])  # max_rows rows of 12 bytes
-    rows = texts.join(F.broadcast(ids), "doc_id").select("text", "toxic").mapInArrow(partial(_buckets, bits=bits), "toxic int, buckets array<int>").toArrow()
-    lists = rows.column("buckets").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
-    of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else 0)
-    return fit(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), of, rows.column("toxic").to_numpy() == 1, float(prior), bits)
+    spark = docs.sparkSession
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic = 1")
+    ids = known.where(fold_of(F.col("doc_id"), folds) != held_out).select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(fold_of(F.col("doc_id"), folds) != held_out)
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positives).withColumn("toxic", F.lit(1))  # rows of 12 bytes
+    schema = "toxic int, buckets array<int>"
+    confirmed = saved(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(partial(_buckets, bits=bits, of_use=None), schema), "positives")
+    size = 1 << bits
+    p = np.zeros(size)
+    for r in confirmed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).collect():  # 1 << bits rows at most
+        p[r["bucket"]] = r["n"]
+    n = confirmed.count()
+    if not n:
+        return Model(np.zeros(size), -500.0)
+    of_use = spark.sparkContext.broadcast(np.packbits(p > 0))
+    rows = saved(texts.select(F.lit(0).alias("toxic"), "text").mapInArrow(partial(_buckets, bits=bits, of_use=of_use), schema), "unlabelled")
+    u, m = np.zeros(size), rows.count()
+    for r in rows.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect():
+        u[r["bucket"]] = r["n"]
+    columns = np.flatnonzero(telling(p, u, n, m)).astype(np.int32)
+    if not len(columns):
+        return Model(np.zeros(size), -500.0)
+    # texts by the columns that they have: most have none, so few rows are left
+    place = np.full(size, -1, np.int32)
+    place[columns] = np.arange(len(columns))
+    shared = spark.sparkContext.broadcast(place)  # 4 << bits bytes
+    patterns = lambda df: saved(df.select("buckets").mapInArrow(partial(_columns, place=shared), "columns array<int>").groupBy("columns").agg(F.count("*").alias("count")), "patterns")
+    few, all_ = patterns(confirmed), patterns(rows)
+    dropped(confirmed, rows)
+    positives = _texts(few.toArrow().combine_chunks().to_batches()[0])  # max_positives rows of the telling columns
+    look = lambda x: _summed(all_, _risks, x, len(x) + 2)
+    first = descend(positives, look, len(columns), 0.1)
+    grades = _summed(all_, _graded, first, GRADES)
+    prior = min(max(class_prior(_grades(positives, first), grades), 1e-6), 1 - 1e-6)
+    x = descend(positives, look, len(columns), prior)
+    grades, middle = _summed(all_, _graded, x, GRADES), (np.arange(GRADES) + 0.5) / GRADES * 60 - 30
+    # the bias is moved until the scores of the unlabelled have the prior as their mean
+    low, high = -30.0, 30.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if grades @ (1 / (1 + np.exp(-(middle + mid)))) / grades.sum() < prior else (low, mid)
+    out = np.zeros(size)
+    out[columns] = x[:-1]
+    return Model(out, float(x[-1] + low))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores = [np.zeros(0)]
-        for s in W.slices(batch.column(batch.num_columns - 1)):
-            found, rows = features(s, bits)
+        of_use = model.value.weights != 0
+        for s in W.slices(batch.column(1)):
+            found, rows = features(s, bits, of_use)
             scores.append(1 / (1 + np.exp(-np.clip(margins(model.value, found, rows, s.rows), -500, 500))))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores))], [*batch.schema.names[:-1], "_score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], ["row", "score"])
 
 
-def scored(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """The columns `carry` of docs and _score."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """row, a struct of all columns of docs, and score."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias))  # 4 << bits bytes
-    wide = docs.select(*carry, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in wide.dtypes[:-1]) + ", _score double"
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    wide = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = Y.StructType([Y.StructField("row", wide.schema["row"].dataType), Y.StructField("score", Y.DoubleType())])
     return wide.mapInArrow(partial(_score, model=shared, bits=bits), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted, one row for each of docs."""
-    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels), ["doc_id"])
-    return out.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    model, doc_id = train(docs, labels), F.col("doc_id").cast("long")
+    shared = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias))
+    out = docs.select(doc_id.alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_score, model=shared, bits=BITS), "row long, score double")
+    return out.select(F.col("row").alias("doc_id"), (fold_of(F.col("row"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs under the threshold, with all their columns."""
-    return scored(docs, train(docs, labels), docs.columns).where(F.col("_score") < threshold).drop("_score")
+    return scored(docs, train(docs, labels)).where(F.col("score") < threshold).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,64 @@ def test_held_out_accuracy_and_folds(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
+def small_texts(r, n, size, share):
+    columns, rows = [], []
+    for k in range(n):
+        own = np.flatnonzero(r.random(size) < share)
+        columns += own.tolist()
+        rows += [k] * len(own)
+    return T.Texts(np.array(columns, int), np.array(rows, int), r.integers(1, 5, n).astype(float))
+
+
+def test_risk_and_gradient_match_brute_force():
+    r = np.random.default_rng(1)
+    texts, x = small_texts(r, 40, 6, 0.3), r.normal(0, 1, 7)
+    held = [[c for c, k in zip(texts.columns, texts.rows, strict=True) if k == i] for i in range(40)]
+    loss = lambda w: sum(n * np.log1p(np.exp(sum(w[c] for c in own) + w[-1])) for own, n in zip(held, texts.counts, strict=True))
+    got = texts.risk(x)
+    assert abs(got[0] - loss(x)) < 1e-9 and got[-1] == texts.counts.sum()
+    for k in range(7):
+        e = np.eye(7)[k] * 1e-5
+        assert abs((loss(x + e) - loss(x - e)) / 2e-5 - got[1 + k]) < 1e-4
+
+
+def test_risk_of_parts_adds_up_to_that_of_the_whole(spark):
+    r = np.random.default_rng(2)
+    texts, x = small_texts(r, 200, 5, 0.4), r.normal(0, 1, 6)
+    rows = [([int(c) for c in texts.columns[texts.rows == k]], int(n)) for k, n in enumerate(texts.counts)]
+    df = spark.createDataFrame(rows, "columns array<int>, count long").repartition(5)
+    assert np.allclose(T._summed(df, T._risks, x, 8), texts.risk(x))
+    assert np.allclose(T._summed(df, T._graded, x, T.GRADES), T._grades(texts, x))
+
+
+def test_descent_finds_the_least_non_negative_risk():
+    r = np.random.default_rng(3)
+    positives, unlabelled, prior = small_texts(r, 60, 3, 0.7), small_texts(r, 400, 3, 0.25), 0.1
+
+    def risk(x):
+        p, u = positives.risk(x), unlabelled.risk(x)
+        n = positives.counts.sum()
+        plus = (p[0] - positives.present(3)[:-1] @ x[:-1] - n * x[-1]) / n
+        return prior * plus + max(0.0, u[0] / u[-1] - prior * p[0] / n)
+
+    x = T.descend(positives, unlabelled.risk, 3, prior, steps=300, decay=0)
+    assert all(risk(x) <= risk(x + r.normal(0, 0.3, 4)) + 2e-3 for _ in range(300))
+
+
+def test_class_prior():
+    r = np.random.default_rng(4)
+    grades = lambda p, n: np.bincount(np.clip(np.concatenate([r.normal(70, 8, int(p * n)), r.normal(20, 10, n - int(p * n))]), 0, 99).astype(int), minlength=100)
+    for p in (0.05, 0.12, 0.4):
+        assert abs(T.class_prior(grades(1, 4000), grades(p, 50_000)) - p) < 0.02
+
+
+def test_other_columns_do_not_matter(spark):
+    rows = corpus(300, 5)
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t, _ in rows], "doc_id long, text string, _score int, score int, row int")
+    kept = T.without_toxic(docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int"))
+    assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark):
     rows = corpus(400, 1)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").coalesce(1)
