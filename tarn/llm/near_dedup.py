@@ -30,7 +30,7 @@ of bounded size; an empty table gives an empty result; other columns of the inpu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -270,10 +270,10 @@ def _same_ids(full: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _unchecked(pairs: DataFrame, checked: list[DataFrame]) -> DataFrame:
     """pairs without those that were compared before, either way round."""
-    for done in checked:
-        for way in (("a", "b"), ("b", "a")):
-            pairs = pairs.join(done.select(*(F.col(c).alias(to) for c, to in zip(way, "ab", strict=True))).hint("merge"), ["a", "b"], "left_anti")
-    return pairs
+    if not checked:
+        return pairs
+    ways = [done.select(*(F.col(c).alias(to) for c, to in zip(way, "ab", strict=True))) for done in checked for way in (("a", "b"), ("b", "a"))]
+    return pairs.join(reduce(DataFrame.union, ways).hint("merge"), ["a", "b"], "left_anti")
 
 
 def _rest(rows: DataFrame, reps: DataFrame, sets: DataFrame, least: int, checked: list[DataFrame]) -> DataFrame:
