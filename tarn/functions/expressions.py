@@ -29,5 +29,5 @@ def concat(*parts: Column) -> Column:
 
 
 def exact_sum(value: Column) -> Column:
-    """The sum of amounts with two decimals, the same in any order of rows, as a double."""
-    return F.sum(value.cast("decimal(18,2)")).cast("double")
+    """The sum of numbers to six decimals, the same in any order of rows, as a double."""
+    return F.sum(value.cast("decimal(28,6)")).cast("double")

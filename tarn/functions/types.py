@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.operators.errors import WrongType
+
 #: The accepted type names and what they mean here.
 SQL_TYPES: dict[str, T.DataType] = {
     "INT": T.IntegerType(),
@@ -31,7 +33,7 @@ def sql_type(name: str) -> T.DataType:
     """The Spark type of a SQL type name; a length in brackets is accepted and has no effect."""
     found = SQL_TYPES.get(re.sub(r"\s*\(.*\)$", "", name.strip()).upper())
     if found is None:
-        raise ValueError(f"Unsupported data type: {name}")
+        raise WrongType(f"no such type: {name}")
     return found
 
 
@@ -42,7 +44,9 @@ def cast(value: Column, to: str) -> Column:
     """
     kind = sql_type(to)
     if isinstance(kind, T.BinaryType):
-        raise ValueError("BLOB values can't be cast")
+        raise WrongType("BLOB values can't be cast")
+    if isinstance(kind, T.BooleanType):
+        return F.when(F.typeof(value) == "string", text_to_boolean(value.cast("string"))).otherwise(value.cast(kind))
     return value.cast(kind)
 
 

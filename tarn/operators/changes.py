@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.operators.constraints import ConstraintViolation
+from tarn.operators.errors import ColumnExists, ConstraintViolation, NoSuchColumn, WrongArity
 from tarn.sources.tables import materialised, values
 
 
@@ -26,14 +26,16 @@ def insert(table: DataFrame, rows: Sequence[Sequence] | DataFrame, columns: Sequ
     spark, columns, defaults = table.sparkSession, list(columns or table.columns), defaults or {}
     kinds = {f.name: f.dataType for f in table.schema.fields}
     if len(set(columns)) < len(columns):
-        raise ValueError("a column is named twice")
+        raise ColumnExists("a column is named twice")
     if unknown := [c for c in columns if c not in kinds]:
-        raise ValueError(f"no such column: {', '.join(unknown)}")
+        raise NoSuchColumn(f"no such column: {', '.join(unknown)}")
     if isinstance(rows, DataFrame):
+        if len(rows.columns) != len(columns):
+            raise WrongArity(f"each row needs {len(columns)} values")
         given = rows.toDF(*columns)
     else:
         if any(len(r) != len(columns) for r in rows):
-            raise ValueError(f"each row needs {len(columns)} values")
+            raise WrongArity(f"each row needs {len(columns)} values")
         given = values(spark, rows, T.StructType([T.StructField(c, kinds[c]) for c in columns]))
     full = given.select(*((F.col(c) if c in columns else defaults.get(c, F.lit(None))).cast(k).alias(c) for c, k in kinds.items()))
     if auto:
@@ -46,8 +48,11 @@ def insert(table: DataFrame, rows: Sequence[Sequence] | DataFrame, columns: Sequ
 
 
 def _numbered(rows: DataFrame, column: str, last: int) -> DataFrame:
-    given = rows.agg(F.max(column)).first()[0]
-    return number(rows.where(F.col(column).isNull()), column, max(last, given or 0)).unionByName(rows.where(F.col(column).isNotNull()))
+    # written once, in their order: rows are read twice, and both readings have to agree
+    fixed = materialised(rows.withColumn("_order", F.monotonically_increasing_id()))
+    given = fixed.agg(F.max(column)).first()[0]
+    made = number(fixed.where(F.col(column).isNull()), column, max(last, given or 0), by=["_order"])
+    return made.unionByName(fixed.where(F.col(column).isNotNull())).drop("_order")
 
 
 def number(df: DataFrame, column: str, last: int = 0, by: Sequence[str] = ()) -> DataFrame:
@@ -70,7 +75,7 @@ def number(df: DataFrame, column: str, last: int = 0, by: Sequence[str] = ()) ->
 def update(table: DataFrame, changes: Mapping[str, Column], condition: Column | None = None) -> DataFrame:
     """table with columns set where the condition is true; every right-hand side sees the old row."""
     if unknown := [c for c in changes if c not in table.columns]:
-        raise ValueError(f"no such column: {', '.join(unknown)}")
+        raise NoSuchColumn(f"no such column: {', '.join(unknown)}")
     hit = F.lit(True) if condition is None else condition
     return table.select(*(F.when(hit, changes[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in changes else F.col(f.name) for f in table.schema.fields))
 
@@ -88,23 +93,23 @@ def affected(table: DataFrame, condition: Column | None = None) -> int:
 def add_column(table: DataFrame, name: str, kind: T.DataType) -> DataFrame:
     """A new nullable column at the end; rows that are there have null in it."""
     if name.lower() in map(str.lower, table.columns):
-        raise ValueError(f"column {name} exists")
+        raise ColumnExists(f"column {name} exists")
     return table.withColumn(name, F.lit(None).cast(kind))
 
 
 def drop_column(table: DataFrame, name: str, primary_key: Sequence[str] = ()) -> DataFrame:
-    if name not in table.columns:
-        raise ValueError(f"no such column: {name}")
-    if name in primary_key:
+    if name.lower() not in map(str.lower, table.columns):
+        raise NoSuchColumn(f"no such column: {name}")
+    if name.lower() in map(str.lower, primary_key):
         raise ConstraintViolation(f"{name} is part of the primary key")
     return table.drop(name)
 
 
 def rename_column(table: DataFrame, old: str, new: str) -> DataFrame:
-    if old not in table.columns:
-        raise ValueError(f"no such column: {old}")
-    if new.lower() in map(str.lower, table.columns):
-        raise ValueError(f"column {new} exists")
+    if old.lower() not in map(str.lower, table.columns):
+        raise NoSuchColumn(f"no such column: {old}")
+    if new.lower() in (c.lower() for c in table.columns if c.lower() != old.lower()):
+        raise ColumnExists(f"column {new} exists")
     return table.withColumnRenamed(old, new)
 
 

@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-class ConstraintViolation(ValueError):
-    """Rows break a constraint of the table."""
+from tarn.operators.errors import ConstraintViolation
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

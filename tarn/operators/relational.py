@@ -8,25 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "cross": "cross"}
-
+from tarn.operators.errors import BlobPredicateError
 
-class BlobPredicateError(ValueError):
-    """A condition reads a binary column."""
+JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "cross": "cross"}
 
 
-def where(df: DataFrame, condition: Column) -> DataFrame:
-    """Rows for which the condition is true; binary columns can't be part of it."""
-    found = df.where(condition)
-    if any(isinstance(f.dataType, T.BinaryType) for f in df.schema.fields):
+def _without_blobs(found: DataFrame, *inputs: DataFrame) -> DataFrame:
+    """found, whose condition must not read a binary column of its inputs."""
+    if any(isinstance(f.dataType, T.BinaryType) for df in inputs for f in df.schema.fields):
         read = found._jdf.queryExecution().analyzed().references().toSeq()
         if blobs := [read.apply(i).name() for i in range(read.size()) if read.apply(i).dataType().typeName() == "binary"]:
             raise BlobPredicateError(f"conditions can't use the columns {blobs}")
     return found
 
 
+def where(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows for which the condition is true; binary columns can't be part of it."""
+    return _without_blobs(df.where(condition), df)
+
+
 def join(left: DataFrame, right: DataFrame, on: Column | Sequence[str] | None = None, how: str = "inner") -> DataFrame:
-    """Inner and outer joins need a condition; only a cross join has none."""
+    """Inner and outer joins need a condition, which can't read binary columns; only a cross join has none."""
     if how not in JOINS:
         raise ValueError(f"unknown join: {how}")
     if how == "cross":
@@ -35,7 +37,11 @@ def join(left: DataFrame, right: DataFrame, on: Column | Sequence[str] | None =
         return left.crossJoin(right)
     if on is None:
         raise ValueError(f"{how} join requires a condition")
-    return left.join(right, on, JOINS[how])
+    if isinstance(on, Column):
+        return _without_blobs(left.join(right, on, JOINS[how]), left, right)
+    if blobs := [f.name for df in (left, right) for f in df.schema.fields if f.name in on and isinstance(f.dataType, T.BinaryType)]:
+        raise BlobPredicateError(f"conditions can't use the columns {blobs}")
+    return left.join(right, list(on), JOINS[how])
 
 
 def sort(df: DataFrame, *keys: str | tuple[str, str] | tuple[str, str, str]) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SHOWN = 100
+#: How many rows a text table shows, and the wording of its last lines.
+SHOWN, COUNTED, HIDDEN = 100, "({n} row{s})", "... ({n} rows hidden)"
 
 
 def text_table(df: DataFrame, shown: int = SHOWN) -> str:
@@ -17,9 +18,9 @@ def text_table(df: DataFrame, shown: int = SHOWN) -> str:
     out = [line, *("|" + "|".join(f" {v:<{w}} " for v, w in zip(r, widths, strict=True)) + "|" for r in [df.columns, *cells]), line]
     out.insert(2, line)
     total = df.count() if len(cells) == shown else len(cells)
-    out.append(f"({total} row{'s' * (total != 1)})")
+    out.append(COUNTED.format(n=total, s="s" * (total != 1)))
     if total > len(cells):
-        out.append(f"... ({total - len(cells)} rows hidden)")
+        out.append(HIDDEN.format(n=total - len(cells)))
     return "\n".join(out)
 
 

@@ -13,7 +13,9 @@ from tarn.functions.types import cast, sql_type
 from tarn.operators import changes as C
 from tarn.operators import relational as R
 from tarn.operators.constraints import check, duplicates
+from tarn.operators.definition import ColumnDefinition, TableDefinition
 from tarn.operators.render import json_cells
+from tarn.sources.catalog import drop_table, list_tables, register, rename_table
 from tarn.sources.tables import load, one_row, values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,7 +304,7 @@ def group_count(t):
     return t("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_returnflag, l_linestatus, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus")
+@query("SELECT l_returnflag, l_linestatus, CAST(SUM(CAST(l_quantity AS DECIMAL(28,6))) AS DOUBLE) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus")
 def group_sum(t):
     return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(X.exact_sum(col("l_quantity")).alias("q"))
 
@@ -355,14 +357,14 @@ def sort_multi(t):
     return R.sort(t("orders").select("o_orderstatus", "o_orderkey"), "o_orderstatus", ("o_orderkey", "desc"))
 
 
-@query(f"SELECT o_orderkey, k FROM {_N} ORDER BY k NULLS LAST, o_orderkey LIMIT 9000")
+@query(f"SELECT o_orderkey, k FROM {_N} ORDER BY k NULLS LAST, o_orderkey")
 def sort_nulls_last(t):
-    return R.limit(R.sort(with_nulls(t), "k", "o_orderkey"), 9000)
+    return R.sort(with_nulls(t), "k", "o_orderkey")
 
 
-@query(f"SELECT o_orderkey, k FROM {_N} ORDER BY k DESC NULLS FIRST, o_orderkey LIMIT 6000")
+@query(f"SELECT o_orderkey, k FROM {_N} ORDER BY k DESC NULLS FIRST, o_orderkey")
 def sort_nulls_first(t):
-    return R.limit(R.sort(with_nulls(t), ("k", "desc", "first"), "o_orderkey"), 6000)
+    return R.sort(with_nulls(t), ("k", "desc", "first"), "o_orderkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -390,7 +392,7 @@ def ticket_detail(t):
     return R.where(found, col("c_custkey") == 42).select("l_orderkey", "l_linenumber", col("p_name").alias("pn"), col("o_orderstatus").alias("st"), col("c_name").alias("cn"))
 
 
-@query("""SELECT c.c_custkey AS c_custkey, c.c_name AS c_name, COUNT(o.o_orderkey) AS order_count, CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_spent
+@query("""SELECT c.c_custkey AS c_custkey, c.c_name AS c_name, COUNT(o.o_orderkey) AS order_count, CAST(SUM(CAST(o.o_totalprice AS DECIMAL(28,6))) AS DOUBLE) AS total_spent
 FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderstatus = 'F' GROUP BY c.c_custkey, c.c_name ORDER BY total_spent DESC, c_custkey LIMIT 10""")
 def customer_summary(t):
     # sums are taken by order key before the join: it then meets one row for each customer
@@ -399,12 +401,23 @@ def customer_summary(t):
     return R.limit(R.sort(named, ("total_spent", "desc"), "c_custkey"), 10)
 
 
-@query("""SELECT o.o_orderkey AS o_orderkey, COUNT(l.l_orderkey) AS n_lines, CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+@query("""SELECT o.o_orderkey AS o_orderkey, COUNT(l.l_orderkey) AS n_lines, CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(28,6))) AS DOUBLE) AS revenue
 FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey""")
 def event_summary(t):
     return _orders_lines(t, "left").groupBy("o_orderkey").agg(F.count("l_orderkey").alias("n_lines"), X.exact_sum(col("l_extendedprice")).alias("revenue"))
 
 
+@query("""SELECT o.o_orderkey AS o_orderkey, CAST(COALESCE(SUM(CAST(l.l_quantity AS DECIMAL(28,6))), 0) AS DOUBLE) AS sold,
+COALESCE(STRING_AGG(CAST(l.l_linenumber AS VARCHAR) || ':' || CAST(l.l_partkey AS VARCHAR), ',' ORDER BY l.l_linenumber, l.l_partkey), '') AS types
+FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey""")
+def event_listing(t):
+    # the lines of an order, as the ticket types of an event: a list of structs, shown as text
+    lines = F.array_sort(F.collect_list(F.when(col("l_linenumber").isNotNull(), F.struct("l_linenumber", "l_partkey"))))
+    found = _orders_lines(t, "left").groupBy("o_orderkey").agg(F.coalesce(X.exact_sum(col("l_quantity")), lit(0.0)).alias("sold"), lines.alias("lines"))
+    shown = F.transform("lines", lambda x: X.concat(x["l_linenumber"], lit(":"), x["l_partkey"]))
+    return found.select("o_orderkey", "sold", F.array_join(shown, ",").alias("types"))
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE 1 = 1 AND p_size >= 10 AND (p_name LIKE '%an%' OR p_type LIKE '%AN%') ORDER BY p_partkey LIMIT 50 OFFSET 50")
 def page_listing(t):
     found = R.where(t("part"), (col("p_size") >= 10) & (X.like(col("p_name"), "%an%") | X.like(col("p_type"), "%AN%"))).select("p_partkey", "p_name")
@@ -485,6 +498,47 @@ def describe_table(t):
     return C.describe(t("nation"))
 
 
+PARTS = TableDefinition(
+    [
+        ColumnDefinition("id", "BIGINT", primary_key=True, auto=True),
+        ColumnDefinition("name", "TEXT", not_null=True, unique=True),
+        ColumnDefinition("size", "INT", default=7),
+        ColumnDefinition("status", "TEXT", default="DRAFT"),
+    ]
+)
+
+
+@query("SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, n_name AS name, 7 AS size, 'DRAFT' AS status FROM nation WHERE n_nationkey < 1 UNION ALL SELECT 40, 'north', 9, 'DRAFT' UNION ALL SELECT 41, 'south', NULL, 'DRAFT'")
+def defined_insert(t):
+    spark = t("region").sparkSession
+    first = PARTS.insert(PARTS.empty(spark), R.where(t("nation"), col("n_nationkey") < 1).select("n_name"), ["name"])
+    return PARTS.insert(first, [(40, "north", 9), (None, "south", None)], ["id", "name", "size"])
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) + CASE WHEN n_nationkey < 24 THEN 1 ELSE -24 END AS id, n_name AS name, CASE WHEN n_regionkey = 2 THEN 0 ELSE 7 END AS size, 'DRAFT' AS status FROM nation")
+def defined_update(t):
+    # each key takes the next one's place: only the outcome has to be unique
+    rows = t("nation").select(col("n_nationkey").cast("long").alias("id"), col("n_name").alias("name"), lit(7).alias("size"), lit("DRAFT").alias("status"), "n_regionkey")
+    to = {"id": col("id") + F.when(col("id") < 24, 1).otherwise(-24), "size": F.when(col("n_regionkey") == 2, 0).otherwise(col("size"))}
+    return PARTS.update(rows, to).drop("n_regionkey")
+
+
+@query("SELECT * FROM (VALUES ('tarn_lands', 25), ('tarn_regions', 5)) AS v(table_name, n)")
+def table_names(t):
+    spark = t("region").sparkSession
+    for name in ("tarn_lands", "tarn_nations", "tarn_regions", "tarn_gone"):
+        drop_table(spark, name, if_exists=True)
+    register(t("nation"), "tarn_nations")
+    register(t("region"), "tarn_regions")
+    register(t("region"), "tarn_gone")
+    rename_table(spark, "tarn_nations", "tarn_lands")
+    drop_table(spark, "tarn_gone")
+    found = [(name, spark.table(name).count()) for name in list_tables(spark) if name.startswith("tarn_")]
+    for name, _ in found:
+        drop_table(spark, name)
+    return values(spark, found, "table_name string, n int")
+
+
 @query("SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1")
 def unique_violations(t):
     return duplicates(t("lineitem"), ["l_orderkey", "l_linenumber"])

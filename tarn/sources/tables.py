@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -24,13 +25,21 @@ def one_row(spark: SparkSession) -> DataFrame:
     return spark.range(1).select()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder of this machine's, in local mode alone."""
+    context = spark.sparkContext
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df written out once as Parquet and read back, so that what follows sees fixed rows and survives lost executors."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        spark.sparkContext.setCheckpointDir("/tmp/tarn-checkpoints")
-        where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{where.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,12 +5,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tarn.functions import types as Y
-from tarn.functions.expressions import in_list, like
+from tarn.functions.expressions import exact_sum, in_list, like
 from tarn.operators import changes as C
+from tarn.operators import errors as E
 from tarn.operators import relational as R
 from tarn.operators.constraints import ConstraintViolation, check, duplicates
+from tarn.operators.definition import ColumnDefinition, TableDefinition
 from tarn.operators.render import json_cells, text_table
 from tarn.plans.explain import explain, pushed_filters, read_columns
+from tarn.sources import catalog as K
 
 col, lit = F.col, F.lit
 
@@ -47,15 +50,62 @@ def test_order_nulls_last_both_ways_and_paging(spark):
 
 
 def test_joins(spark):
-    event = spark.createDataFrame([(1, "Concert"), (2, "Talk")], "id int, title string").alias("e")
-    ticket = spark.createDataFrame([(10, 1), (11, 1), (12, 2), (13, None)], "id int, event_id int").alias("t")
-    on = col("e.id") == col("t.event_id")
-    assert sorted(map(tuple, R.join(event, ticket, on).select("e.id", "title", "t.id").collect())) == [(1, "Concert", 10), (1, "Concert", 11), (2, "Talk", 12)]
-    assert R.join(event, ticket, on, "full").count() == 4 and R.join(event, ticket, how="cross").count() == 8
+    ship = spark.createDataFrame([(3, "Heron"), (8, "Tern"), (9, "Skua")], "id int, name string").alias("s")
+    crate = spark.createDataFrame([(70, 8), (71, 3), (72, 8), (73, None), (74, 8)], "id int, ship int").alias("c")
+    on = col("s.id") == col("c.ship")
+    assert sorted(map(tuple, R.join(ship, crate, on).select("s.id", "name", "c.id").collect())) == [(3, "Heron", 71), (8, "Tern", 70), (8, "Tern", 72), (8, "Tern", 74)]
+    assert R.join(ship, crate, on, "full").count() == 6 and R.join(ship, crate, how="cross").count() == 15
     with pytest.raises(ValueError):
-        R.join(event, ticket)
+        R.join(ship, crate)
     with pytest.raises(AnalysisException):
-        R.join(event, ticket, on).select("id").collect()
+        R.join(ship, crate, on).select("id").collect()
+
+
+def test_joins_on_blobs_are_refused(spark):
+    a = spark.createDataFrame([(1, bytearray(b"x"))], "id int, payload binary").alias("a")
+    b = spark.createDataFrame([(1, bytearray(b"x"))], "id int, payload binary").alias("b")
+    assert R.join(a, b, col("a.id") == col("b.id")).count() == 1 and R.join(a, b, ["id"]).count() == 1
+    for on in (col("a.payload") == col("b.payload"), (col("a.id") == col("b.id")) & col("b.payload").isNotNull(), ["payload"]):
+        with pytest.raises(R.BlobPredicateError):
+            R.join(a, b, on)
+
+
+def test_table_definition(spark):
+    table = TableDefinition([ColumnDefinition("id", "INT", primary_key=True, auto=True), ColumnDefinition("mail", "TEXT", unique=True), ColumnDefinition("n", "INT", not_null=True, default=0)])
+    rows = table.insert(table.empty(spark), [("a",), ("b",), (None,), (None,)], ["mail"])
+    assert sorted(map(tuple, rows.collect()), key=str) == [(1, "a", 0), (2, "b", 0), (3, None, 0), (4, None, 0)]
+    assert sorted(r["id"] for r in table.insert(rows, [(9, "c", 1), (None, "d", 2)]).collect()) == [1, 2, 3, 4, 9, 10]
+    for wrong in (lambda: table.insert(rows, [("a",)], ["mail"]), lambda: table.insert(rows, [(1, "z", 1)]), lambda: table.insert(rows, [("z", None)], ["mail", "n"]), lambda: table.update(rows, {"id": lit(1)}), lambda: table.update(rows, {"n": lit(None)}), lambda: table.drop_column(rows, "ID")):
+        with pytest.raises(ConstraintViolation):
+            wrong()
+    assert sorted(r["id"] for r in table.update(rows, {"id": 5 - col("id")}).collect()) == [1, 2, 3, 4]
+    with pytest.raises(E.WrongArity):
+        table.insert(rows, [(1, 2)], ["mail"])
+    with pytest.raises(E.NoSuchColumn):
+        table.insert(rows, [(1,)], ["nope"])
+    for columns, more in (([ColumnDefinition("b", "BLOB", unique=True)], {}), ([ColumnDefinition("b", "BLOB", primary_key=True)], {}), ([ColumnDefinition("a", "INT"), ColumnDefinition("A", "INT")], {}), ([ColumnDefinition("a", "INT")], {"unique": [["x"]]}), ([ColumnDefinition("a", "TEXT", auto=True)], {}), ([ColumnDefinition("a", "INT", primary_key=True)], {"primary_key": ["a"]})):
+        with pytest.raises(E.TableError):
+            TableDefinition(columns, **more)
+
+
+def test_names_of_tables(spark):
+    K.register(people(spark), "folk_a")
+    with pytest.raises(E.TableExists):
+        K.register(people(spark), "folk_a")
+    K.rename_table(spark, "folk_a", "folk_b")
+    assert [n for n in K.list_tables(spark) if n.startswith("folk")] == ["folk_b"]
+    people(spark).write.saveAsTable("folk_stored")
+    K.rename_table(spark, "folk_stored", "folk_kept")
+    assert spark.table("folk_kept").count() == 3
+    assert K.drop_table(spark, "folk_b") and K.drop_table(spark, "folk_kept") and not K.drop_table(spark, "folk_kept", if_exists=True)
+    for wrong in (lambda: K.drop_table(spark, "folk_b"), lambda: K.rename_table(spark, "folk_b", "x")):
+        with pytest.raises(E.NoSuchTable):
+            wrong()
+
+
+def test_exact_sum(spark):
+    df = spark.createDataFrame([(0.1,), (0.2,), (0.000001,), (None,)], "v double")
+    assert df.agg(exact_sum(col("v"))).first()[0] == 0.300001
 
 
 def test_insert(spark):
@@ -110,12 +160,12 @@ def test_types_and_casts(spark):
         Y.sql_type("DECIMAL(3,1)")
     with pytest.raises(ValueError):
         Y.cast(lit("a"), "BLOB")
-    row = spark.range(1).select(Y.cast(lit(-2.7), "INT"), Y.cast(lit(True), "INT"), Y.cast(lit(5), "TIMESTAMP").cast("long"), Y.text_to_boolean(lit(" TRUE ")), Y.text_to_boolean(lit(None).cast("string"))).first()
-    assert tuple(row) == (-2, 1, 5, True, None)
+    row = spark.range(1).select(Y.cast(lit(-2.7), "INT"), Y.cast(lit(True), "INT"), Y.cast(lit(5), "TIMESTAMP").cast("long"), Y.text_to_boolean(lit(" TRUE ")), Y.text_to_boolean(lit(None).cast("string")), Y.cast(lit("False"), "BOOLEAN"), Y.cast(lit(3), "BOOLEAN")).first()
+    assert tuple(row) == (-2, 1, 5, True, None, False, True)
     with pytest.raises(Exception, match="(?i)cast|malformed"):
         spark.range(1).select(Y.cast(lit("x"), "INT")).collect()
     with pytest.raises(Exception, match="not a boolean"):
-        spark.range(1).select(Y.text_to_boolean(lit("yes"))).collect()
+        spark.range(1).select(Y.cast(lit("yes"), "BOOLEAN")).collect()
 
 
 def test_rendering(spark):
