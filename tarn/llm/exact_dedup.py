@@ -9,7 +9,8 @@ read once, in the task that scans it.
 
 Defined cases: null text counts as empty, and all empty texts are equal; of rows that repeat both
 id and text one stays; a null id is the smallest of its group; an empty table gives an empty
-result; other columns of the input are ignored.
+result; other columns of the input, whatever their names, are
+ignored (exact_dedup) or carried along (without_copies).
 """
 
 from __future__ import annotations
@@ -105,9 +106,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat id and text, one."""
     key = lambda doc_id, digest: F.concat_ws(":", digest, doc_id)
-    stay = exact_dedup(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_stays"))
-    tagged = docs.withColumn("_stays", key(F.col(id_col).cast("long"), F.sha2(lower_az(F.col(text_col)).cast("binary"), 256)))
-    return tagged.join(stay, "_stays", "left_semi").dropDuplicates(["_stays"]).drop("_stays")
+    stay = exact_dedup(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    tagged = docs.select(row, key(F.col(f"`{id_col}`").cast("long"), F.sha2(lower_az(F.col(f"`{text_col}`")).cast("binary"), 256)).alias("key"))
+    return tagged.join(stay, "key", "left_semi").dropDuplicates(["key"]).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

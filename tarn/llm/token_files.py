@@ -18,8 +18,11 @@ Ids are those of a byte-level BPE tokenizer file of the tokenizers library. Text
 single space or line break, where this kind of tokenizer always cuts too, and pieces already seen are
 looked up; any text with other white space is encoded whole.
 
-Defined cases: null text counts as empty and has the end id alone; repeated ids keep all their rows; a
-null id comes first; an empty table gives an empty result; other columns of the input are ignored.
+A reader can decode any range of a segment's tokens, or the documents of a range of ids, from the blocks that
+hold them alone.
+
+Defined cases: null text counts as empty and has the end id alone; repeated ids keep all their rows, in the order
+of their texts, and may be split over tasks; a null id comes first; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,8 +197,27 @@ def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> byte
     return HEADER.pack(MAGIC, len(index), len(coded), len(data), len(ids)) + index + coded + data
 
 
-def unpack(data: memoryview, at: int) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
-    """Ids of documents, their numbers of tokens, all tokens, and where the segment at `at` ends."""
+@dataclass(frozen=True)
+class Segment:
+    """What a segment's index and table say: where its blocks are, without any of them."""
+
+    doc_ids: list[int | None]
+    counts: np.ndarray
+    freq: np.ndarray
+    lengths: list[int]
+    sizes: list[int]
+    sums: list[int]
+    first: int
+    end: int
+
+    @property
+    def starts(self) -> np.ndarray:
+        """Where each document's tokens begin in the segment, and where the last one's end."""
+        return np.concatenate([[0], np.cumsum(self.counts)])
+
+
+def index_of(data: memoryview, at: int) -> Segment:
+    """The segment that begins at `at`."""
     magic, n_index, n_table, n_blocks, n = HEADER.unpack_from(data, at)
     if magic != MAGIC:
         raise ValueError("not a segment of a token file")
@@ -202,28 +226,42 @@ def unpack(data: memoryview, at: int) -> tuple[list[int | None], np.ndarray, np.
     freq = np.frombuffer(zlib.decompress(data[at + n_index : at + n_index + n_table]), "<u4")
     at += n_index + n_table
     docs, blocks = struct.unpack_from("<II", index)
-    null = np.frombuffer(index, np.uint8, docs, 8)
-    ids = np.frombuffer(index, "<i8", docs, 8 + docs)
+    null = np.frombuffer(index, np.uint8, docs, 8).tolist()
+    ids = np.frombuffer(index, "<i8", docs, 8 + docs).tolist()
     counts = np.frombuffer(index, "<u4", docs, 8 + 9 * docs).astype(np.int64)
     lengths, sizes, sums = np.frombuffer(index, "<u4", 3 * blocks, 8 + 13 * docs).reshape(3, blocks).tolist()
-    ends = np.cumsum([at, *lengths]).tolist()
+    if counts.sum() != n or sum(sizes) != n:
+        raise ValueError("a segment of a token file is damaged")
+    return Segment([None if z else i for z, i in zip(null, ids, strict=True)], counts, freq, lengths, sizes, sums, at, at + n_blocks)
+
+
+def read_range(data: memoryview, segment: Segment, start: int, stop: int) -> np.ndarray:
+    """Tokens start to stop of a segment: only the blocks that hold them are decoded, each held against its checksum."""
+    edges, places = np.cumsum([0, *segment.sizes]), np.cumsum([segment.first, *segment.lengths]).tolist()
+    if stop <= start:
+        return np.zeros(0, np.int64)
+    low, high = int(np.searchsorted(edges, start, "right")) - 1, int(np.searchsorted(edges, stop, "left"))
     found = []
-    for k in range(0, blocks, 8):
-        parts = [bytes(data[a:b]) for a, b in zip(ends[k : k + 8], ends[k + 1 : k + 9], strict=False)]
-        found.append(decode_blocks(parts, sizes[k : k + 8], freq))
-        cut = 0
-        for size, want in zip(sizes[k : k + 8], sums[k : k + 8], strict=True):
-            if zlib.crc32(found[-1][cut : cut + size].astype("<u4").tobytes()) != want:
+    for k in range(low, high, 8):
+        part = range(k, min(k + 8, high))
+        got, cut = decode_blocks([bytes(data[places[b] : places[b + 1]]) for b in part], segment.sizes[k : part.stop], segment.freq), 0
+        for b in part:
+            if zlib.crc32(got[cut : cut + segment.sizes[b]].astype("<u4").tobytes()) != segment.sums[b]:
                 raise ValueError("a block of a token file is damaged")
-            cut += size
-    tokens = np.concatenate([np.zeros(0, np.int64), *found])
-    if len(tokens) != n or counts.sum() != n:
-        raise ValueError("a segment of a token file is damaged")
-    return [None if z else i for z, i in zip(null.tolist(), ids.tolist(), strict=True)], counts, tokens, at + n_blocks
+            cut += segment.sizes[b]
+        found.append(got)
+    return np.concatenate(found)[start - edges[low] : stop - edges[low]]
+
+
+def unpack(data: memoryview, at: int) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
+    """Ids of documents, their numbers of tokens, all tokens, and where the segment at `at` ends."""
+    segment = index_of(data, at)
+    return segment.doc_ids, segment.counts, read_range(data, segment, 0, sum(segment.sizes)), segment.end
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    coder = encoder(path)
+    shipped = SparkFiles.get(os.path.basename(path))
+    coder = encoder(shipped if os.path.exists(shipped) else path)
     end = np.array([end_id], coder.kind).tobytes()
     ids, parts, counts, held = [], [], [], 0
 
@@ -248,8 +286,10 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
 
 def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all texts, each followed by end_id, to token files in the folder `to`, in ascending order of id."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)  # executors need not have it at this path
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # by text as well: rows of one id are in the same order in each run, and one id with very many rows doesn't meet in one task
+    ordered = texts.withColumn("digest", F.xxhash64("text")).repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text").drop("digest")
     ordered.mapInArrow(partial(_write, path=tokenizer, end_id=end_id), "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", SEGMENTS).text(to)
 
 
@@ -272,6 +312,26 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(_read, "path string, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _documents(frames: Iterator[pd.DataFrame], first: int, last: int) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for content in frame["content"]:
+            data, at = memoryview(content), 0
+            while at < len(data):
+                segment = index_of(data, at)
+                at = segment.end + 1
+                wanted = [k for k, i in enumerate(segment.doc_ids) if i is not None and first <= i <= last]
+                if wanted:  # documents are in the order of their ids, so these stand together
+                    starts = segment.starts[wanted[0] : wanted[-1] + 2]
+                    tokens = read_range(data, segment, int(starts[0]), int(starts[-1]))
+                    yield pd.DataFrame({"doc_id": [segment.doc_ids[k] for k in wanted], "ids": np.split(tokens, starts[1:-1] - starts[0])})
+
+
+def read_documents(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """doc_id and ids of the documents with ids from first to last, from the blocks that hold them alone."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return files.mapInPandas(partial(_documents, first=first, last=last), "doc_id long, ids array<long>")
+
+
 def token_index(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write docs to token files and read them back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession

@@ -60,5 +60,11 @@ def test_shared_passages_share_chunks():
     assert sum(map(len, chunks[0] & chunks[1])) > 0.7 * len(passage)
 
 
+def test_other_columns_do_not_matter(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6, 7), (2, "A", 5, 6, 7), (2, "A", 5, 6, 7), (None, "b", 5, 6, 7)], "doc_id long, text string, _stays int, key int, row int")
+    left = E.without_copies(docs)
+    assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["2", "None"]
+
+
 def test_empty_table(spark):
     assert E.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -43,6 +43,35 @@ def test_blocks_round_trip(n):
         assert len(data) * 8 / n < 1.15 * -(p[p > 0] * np.log2(p[p > 0])).sum() + 0.5
 
 
+def test_ranges_are_decoded_from_their_blocks_alone(spark, tmp_path):
+    r = np.random.default_rng(7)
+    ids = r.integers(0, 5000, 5 * T.BLOCK + 100)
+    data = bytearray(T.pack([1, 2, None], np.array([10, len(ids) - 30, 20]), ids))
+    segment = T.index_of(memoryview(bytes(data)), 0)
+    data[segment.first + segment.lengths[0] + 5000] ^= 1  # damages the second block
+    data = memoryview(bytes(data))
+    for a, b in ((0, 10), (5, 5), (0, T.BLOCK), (3 * T.BLOCK - 7, 3 * T.BLOCK + 9), (2 * T.BLOCK, len(ids))):
+        assert np.array_equal(T.read_range(data, segment, a, b), ids[a:b])
+    with pytest.raises(ValueError):
+        T.read_range(data, segment, T.BLOCK - 1, T.BLOCK + 1)
+    texts = mixed(80)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "x")], "doc_id long, text string").repartition(3)
+    T.write_tokens(docs, str(tmp_path / "tokens"), PATH)
+    tokenizer = Tokenizer.from_file(PATH)
+    got = {r["doc_id"]: r["ids"] for r in T.read_documents(spark, str(tmp_path / "tokens"), 20, 33).collect()}
+    assert got == {i: [*tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, 0] for i in range(20, 34)}
+
+
+def test_rows_of_one_id_have_one_order(spark):
+    rows = [(1, f"text number {k % 40}") for k in range(200)] + [(0, "a"), (2, "b"), (2, None)]
+    runs = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + seed)
+        runs.append(sorted(map(tuple, T.token_index(docs, PATH).collect())))
+    assert runs[0] == runs[1] and [r[1] for r in runs[0]] == sorted(r[1] for r in runs[0])
+
+
 def test_damage_is_noticed():
     ids = np.random.default_rng(1).integers(0, 1000, 100_000)
     data = bytearray(T.pack([1], np.array([len(ids)]), ids))
