@@ -2,13 +2,13 @@
 
 A naive Bayes classifier fitted on a labelled table gives each document posteriors over domains:
 its features are shares of symbols, capitals, repeated lines and distinct words, its length, and how many
-telling words and beginnings of words of each domain it has. A document's rate is how often it is to be used; the
+telling beginnings of words of each domain it has. A document's rate is how often it is to be used; the
 rates' expected token totals by domain are to match the targets. Least squares on these totals is
 minimised by projected gradient steps from a rate of 1, never below 0; steps are taken by token, so documents with equal posteriors have equal rates, and iterations run over the cells of equal
 features, not over documents.
 
 DataFrame functions only: no Python runs on the executors. The driver sees one row for each
-bucket of a feature and domain, the telling words (learned from LABELLED labelled rows at most), and the totals of
+bucket of a feature and domain, the telling beginnings (learned from LABELLED labelled rows at most), and the totals of
 an iteration.
 
 Defined cases: null text counts as empty and has no tokens; rows with a null id or null domain among
@@ -30,38 +30,30 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import saved, table
 
-#: The most labelled rows that telling words are learned from, and the length of beginnings, looked at beside whole words.
+#: The most labelled rows that telling beginnings of words are learned from, and their length: shorter words count whole.
 LABELLED, BEGINNING = 5000, 4
 SHAPES = {"f_symbols": 11, "f_capitals": 11, "f_lines": 11, "f_words": 11, "f_length": 16}
 HITS = 6
-_SPACE = "[\\x20\\x09-\\x0D]+"
-_PUNCTUATION = ".,;:!?\"'()[]"
-
-
-def _words(text: Column) -> Column:
-    """Words in lower case without punctuation; the first and last may be empty."""
-    return F.split(F.translate(F.lower(text), _PUNCTUATION, ""), _SPACE)
+#: A word, less opening punctuation; its beginning is the group.
+_BEGINNING = "[\"'(\\[]*([^\\x20\\x09-\\x0D]{1,%d})[^\\x20\\x09-\\x0D]*" % BEGINNING
 
 
 def _beginnings(text: Column) -> Column:
-    """The first BEGINNING characters of each word."""
-    return F.regexp_extract_all(F.translate(F.lower(text), _PUNCTUATION, ""), F.lit("([^\\x20\\x09-\\x0D]{1,%d})[^\\x20\\x09-\\x0D]*" % BEGINNING), F.lit(1))
-
-
-KINDS = {"words": _words, "beginnings": _beginnings}
+    """The first BEGINNING characters of each word in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_BEGINNING), F.lit(1))
 
 
 def _tenths(part: Column, whole: Column) -> Column:
     return F.least(F.floor(10 * part / F.greatest(whole, F.lit(1))), F.lit(10)).cast("int")
 
 
-def lexicon(labelled: DataFrame, domains: list[str], kind: str = "words", rows: int = LABELLED, least: int = 3, sigmas: float = 5.0) -> dict[str, list[str]]:
-    """For each domain the words (or beginnings) that more of its labelled texts hold than of the others', beyond chance.
+def lexicon(labelled: DataFrame, domains: list[str], rows: int = LABELLED, least: int = 3, sigmas: float = 5.0) -> dict[str, list[str]]:
+    """For each domain the beginnings of words that more of its labelled texts hold than of the others', beyond chance.
 
     labelled: id, text, domain. At most `rows` of them are looked at: those least by the hash of their id.
     """
     chosen = labelled.orderBy(F.xxhash64("id"), "id").limit(rows)
-    seen = saved(chosen.select("domain", F.explode(F.array_distinct(KINDS[kind](F.col("text")))).alias("word")).where("word <> ''"), "words")
+    seen = saved(chosen.select("domain", F.explode(F.array_distinct(_beginnings(F.col("text")))).alias("word")).where("word <> ''"), "words")
     sizes = {r["domain"]: r["count"] for r in chosen.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     out = {}
@@ -78,28 +70,24 @@ def lexicon(labelled: DataFrame, domains: list[str], kind: str = "words", rows:
     return out
 
 
-def features(docs: DataFrame, telling: Mapping[str, Mapping[str, list[str]]], carry: list[str], text_col: str = "text") -> tuple[DataFrame, dict[str, int]]:
-    """carry, n_tokens and a bucket for each feature; and the number of buckets of each. telling: by kind and domain."""
+def features(docs: DataFrame, telling: Mapping[str, list[str]], carry: list[str], text_col: str = "text") -> tuple[DataFrame, dict[str, int]]:
+    """carry, n_tokens and a bucket for each feature; and the number of buckets of each. telling: beginnings by domain."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(*carry, text.alias("_text")).withColumns({**{f"_{kind}": of(F.col("_text")) for kind, of in KINDS.items()}, "_lines": F.split("_text", "\n")})
-    n = F.regexp_count("_text", F.lit("[^\\x20\\x09-\\x0D]+"))
+    base = docs.select(*carry, text.alias("_text")).withColumns({"_begin": _beginnings(F.col("_text")), "_lines": F.split("_text", "\n")})
+    n = F.size("_begin")
     columns = {
         "f_symbols": _tenths(F.regexp_count("_text", F.lit("[#*$%&|<>]")), n),
         "f_capitals": _tenths(F.regexp_count("_text", F.lit("[A-Z]")), F.length("_text")),
         "f_lines": _tenths(F.size("_lines") - F.size(F.array_distinct("_lines")), F.size("_lines")),
-        "f_words": _tenths(F.size(F.array_distinct("_words")), n),
+        "f_words": _tenths(F.size(F.array_distinct("_begin")), n),
         "f_length": F.least(F.floor(F.log2(n + F.lit(1))), F.lit(15)).cast("int"),
     }
     buckets = dict(SHAPES)
-    hits: dict[str, list[Column]] = {}
-    for kind, words_of in telling.items():
-        known = {d: w for d, w in words_of.items() if w}
-        if known:
-            base = base.withColumn(f"_in_{kind}", F.array_intersect(f"_{kind}", F.lit(sorted(set().union(*known.values())))))
-        for d, w in known.items():
-            hits.setdefault(d, []).append(F.size(F.array_intersect(f"_in_{kind}", F.lit(w))))
-    for i, found in enumerate(hits.values()):
-        columns[f"f_hits_{i}"] = F.least(F.greatest(*found) if len(found) > 1 else found[0], F.lit(HITS - 1)).cast("int")
+    known = {d: w for d, w in telling.items() if w}
+    # Spark makes a hash set of the second list for each row, so that is the shorter one
+    base = base.withColumn("_in", F.array_intersect(F.lit(sorted(set().union(*known.values()))), "_begin")) if known else base
+    for i, w in enumerate(known.values()):
+        columns[f"f_hits_{i}"] = F.least(F.size(F.array_intersect(F.lit(w), "_in")), F.lit(HITS - 1)).cast("int")
         buckets[f"f_hits_{i}"] = HITS
     return base.select(*carry, n.cast("long").alias("n_tokens"), *(v.alias(k) for k, v in columns.items())), buckets
 
@@ -198,7 +186,7 @@ def rated(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], an
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = known.orderBy(F.xxhash64("id"), "id").limit(LABELLED)  # rows of an id and a domain
     chosen = saved(texts.join(F.broadcast(ids), "id"), "labelled")
-    telling = {kind: lexicon(chosen, domains, kind) for kind in KINDS}
+    telling = lexicon(chosen, domains)
     made, buckets = features(docs.withColumn("_id", F.col(id_col).cast("long")), telling, ["_id", *carry], text_col)
     made = saved(made, "features")
     cells = saved(made.groupBy(*buckets).agg(F.sum("n_tokens").cast("double").alias("t")), "cells")

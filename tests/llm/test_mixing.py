@@ -78,19 +78,17 @@ def test_posteriors_match_brute_force(spark):
     domains = ["clean", "junk", "odd"]
     labelled = spark.createDataFrame(list(known.items()), "id long, domain string")
     chosen = df.select(F.col("doc_id").alias("id"), "text").join(labelled, "id")
-    telling = {kind: M.lexicon(chosen, domains, kind) for kind in M.KINDS}
-    cut = {"words": lambda t: set(t.lower().replace("(", "").split()), "beginnings": lambda t: {w[:4] for w in t.lower().replace("(", "").split()}}
+    telling = M.lexicon(df.select(F.col("doc_id").alias("id"), "text").join(labelled, "id"), domains)
     total = sum(known.get(i) is not None for i, *_ in docs)
-    for kind, words_of in telling.items():
-        held = {d: [cut[kind](t) for i, t, _ in docs if known.get(i) == d] for d in domains}
-        for d in domains:
-            every, want = [s for v in held.values() for s in v], []
-            for w in set().union(*every):
-                own, n, whole = sum(w in s for s in held[d]), len(held[d]), sum(w in s for s in every)
-                share = (whole + 1) / (total + 2)
-                if own >= 3 and (own / n - (whole - own) / (total - n)) / np.sqrt(share * (1 - share) * (1 / n + 1 / (total - n))) > 5:
-                    want.append(w)
-            assert sorted(want) == words_of[d]
+    held = {d: [{w[:4] for w in t.lower().replace("(", "").split()} for i, t, _ in docs if known.get(i) == d] for d in domains}
+    for d in domains:
+        every, want = [s for v in held.values() for s in v], []
+        for w in set().union(*every):
+            own, n, whole = sum(w in s for s in held[d]), len(held[d]), sum(w in s for s in every)
+            share = (whole + 1) / (total + 2)
+            if own >= 3 and (own / n - (whole - own) / (total - n)) / np.sqrt(share * (1 - share) * (1 / n + 1 / (total - n))) > 5:
+                want.append(w)
+        assert sorted(want) == telling[d]
     made, buckets = M.features(df, telling, ["doc_id"])
     rows = [r.asDict() for r in made.collect()]
     of = {d: [r for r in rows if known.get(r["doc_id"]) == d] for d in domains}
