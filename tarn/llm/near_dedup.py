@@ -5,21 +5,22 @@ set takes a random permutation of the signature's places, and its k-th place get
 k and k + 1; each place of the signature keeps the least value it is given, so an element's ranks
 are correlated and signatures vary less than with independent hash functions. A set stops drawing
 once every place has a value that later draws can't undercut. Signatures are cut into bands;
-sets that share a band are candidates; candidates whose one-bit sketches, sizes or elements of
+sets that share a band are candidates; candidates whose sketches (four bits of each place), sizes or elements of
 their own rule out the threshold go; the rest are compared on their full sets, and links are
 grouped by union-find.
 
-Groups of thousands that share a band are not expanded into pairs. In a few rounds each set is
+Groups of thousands that share a band are not expanded into pairs. First each set is
 compared with one pivot of its bands only and linked sets merge into components; bands whose sets are all
-one component are done with. Afterwards the sets outside a band's largest component are compared with
+one component are done with. Then the sets outside a band's largest component are compared with
 every set of another component in that band, so no candidate pair of different components is left
-out, and none is compared twice. Sets that are equal (by 128 bits of digest and size) are one from the start.
+out, and none is compared twice; the first bands come first, since most of the links that are left are found
+there, and what they merge needn't be compared in the others. Sets that are equal (by 128 bits of digest and size) are one from the start.
 
 Texts are read once for their sketches and, where a band of theirs is shared, once more for their
 sets: a bitmap of fixed size tells which these are, so texts themselves are never shuffled.
 
 The chance of missing a link of a similarity of 0.85: (1 - 0.85 ** 5) ** 25 = 4e-7 for all bands,
-and 4e-8 for the sketch. At 0.80: (1 - 0.8 ** 5) ** 25 = 5e-5 for all bands, and 1e-5 for the sketch.
+and 2e-8 for the sketch. At 0.80: (1 - 0.8 ** 5) ** 25 = 5e-5 for all bands, and 3e-5 for the sketch.
 
 Defined cases: null or wordless text has an empty set and is linked with nothing; with under five
 words, the whole sequence is the one element; rows that share an id are one document; a row
@@ -43,13 +44,17 @@ from tarn.llm.components import components
 
 BANDS, ROWS = 25, 5
 PLACES = BANDS * ROWS
-#: Most of the PLACES one-bit values of two sketches that may differ: 6.3 standard deviations beyond the mean at 0.85, 4.6 at 0.80.
-SKETCH_MOST = 28
-ROUNDS = 5
+#: Bits of each place that a sketch keeps, and the most of the PLACES that may differ: places of unequal values do with a chance of 15 in 16.
+SKETCH_BITS, SKETCH_MOST = 4, 42
+#: Bands, from and to, in which sets of different components are compared, one range after the other.
+RANGES = ((0, 3), (3, BANDS))
+SKETCH = [f"s{k}" for k in range(2 * SKETCH_BITS)]
 #: Elements that draw their values together.
 DRAWN = 1 << 17
 #: Bits of the map of wanted ids, as a power of two: 8 MB, whatever the corpus. The more ids, the more others pass it.
 MAP_BITS = 26
+#: What is known of a set wherever it is compared.
+_ABOUT = ("id", "n", "own", *SKETCH, "comp")
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -140,14 +145,14 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
                 sums = np.zeros(len(found) + 1, np.uint64)
                 np.cumsum(W.mix(found + _steps(salt)), out=sums[1:])
                 digests.append((sums[edges[1:]] - sums[edges[:-1]]).view(np.int64))
-            bits = (W.mix(signature) & np.uint64(1)).astype(np.uint64)
-            half = PLACES // 2 + 1
-            sketch = [(b << np.arange(b.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64) for b in (bits[:, :half], bits[:, half:])]
+            mixed, half = W.mix(signature), PLACES // 2 + 1
+            bits = [(mixed >> np.uint64(k)) & np.uint64(1) for k in range(SKETCH_BITS)]
+            sketch = [(b << np.arange(b.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64) for plane in bits for b in (plane[:, :half], plane[:, half:])]
             keys = np.tile(np.array([_steps(k + 1) for k in range(BANDS)]), (s.rows, 1))
             for k in range(ROWS):
                 keys = W.mix(keys + signature[:, k::ROWS])
             bands = pa.ListArray.from_arrays(pa.array(np.arange(s.rows + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.array(np.diff(edges)), *map(pa.array, digests), *map(pa.array, sketch), bands], ["doc_id", "n_shingles", "d1", "d2", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.array(np.diff(edges)), *map(pa.array, digests), *map(pa.array, sketch), bands], ["doc_id", "n_shingles", "d1", "d2", *SKETCH, "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -170,7 +175,9 @@ def _may_link(least: int, a: str = "a_", b: str = "b_") -> Column:
 
 
 def _differ(a: str = "a_", b: str = "b_") -> Column:
-    return F.bit_count(F.col(f"{a}s1").bitwiseXOR(F.col(f"{b}s1"))) + F.bit_count(F.col(f"{a}s2").bitwiseXOR(F.col(f"{b}s2")))
+    """In how many places two sketches differ."""
+    by = [F.col(a + c).bitwiseXOR(F.col(b + c)) for c in SKETCH]
+    return sum((F.bit_count(reduce(Column.bitwiseOR, by[half::2])) for half in (0, 1)), F.lit(0))
 
 
 def _among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -187,16 +194,22 @@ def _among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have a similarity of least percent or more."""
-    x, y = (_among(sets, "id", pairs.select(F.col(c).alias("id"))).select(F.col("id").alias(c), F.col("elements").alias(name)) for c, name in (("a", "x"), ("b", "y")))
+    used = _among(sets, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    x, y = (used.select(F.col("id").alias(c), F.col("elements").alias(name)) for c, name in (("a", "x"), ("b", "y")))
     both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(100 * common >= least * (F.size("x") + F.size("y") - common)).select("a", "b", "ca", "cb")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (id, comp) after the components that links (with columns ca, cb) connect are one."""
-    to = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return saved(labels.join(to.hint("merge"), labels["comp"] == to["u"], "left").select("id", F.coalesce("v", "comp").alias("comp")), "labels")
+def _merges(links: DataFrame) -> DataFrame:
+    """Which components (u) become part of which (v), when links connect components ca and cb."""
+    return components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+
+def _relabelled(rows: DataFrame, merges: DataFrame) -> DataFrame:
+    """rows with their column comp after the merges."""
+    found = rows.join(merges.hint("merge"), rows["comp"] == merges["u"], "left")
+    return found.select(*(F.coalesce("v", "comp").alias("comp") if c == "comp" else F.col(c) for c in rows.columns))
 
 
 def _prefixed(df: DataFrame, prefix: str, *but: str) -> DataFrame:
@@ -210,13 +223,13 @@ def near_dedup(docs: DataFrame, least: int = 85, size: int = 5, id_col: str = "d
     laid out for 80 and above.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = saved(texts.mapInArrow(partial(_sketches, size=size), "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, bands array<long>"), "sketches")
+    known = saved(texts.mapInArrow(partial(_sketches, size=size), "doc_id long, n_shingles long, d1 long, d2 long, " + ", ".join(f"{c} long" for c in SKETCH) + ", bands array<long>"), "sketches")
     full = known.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = saved(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("s1", "s2", "bands"))), "sets")
-    banded = reps.select("id", F.explode("bands").alias("key"))
+    reps = saved(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in (*SKETCH, "bands"))), "sets")
+    banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
     # what keys of bands are joined with is written first, so that both sides are dealt anew and Spark can split a band that very many sets share
     shared = saved(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    members = saved(banded.join(shared.hint("merge"), "key").select("key", "id", "size"), "members")
+    members = saved(banded.join(shared.hint("merge"), "key").select("key", "band", "id", "size"), "members")
     # how many other sets a set meets in its bands: those that many meet are the likeliest to be what others were made from
     met = saved(members.groupBy("id").agg(F.sum("size").alias("meets")), "met")
     sets = saved(_among(texts.where("doc_id IS NOT NULL"), "doc_id", met).mapInArrow(partial(_sets, size=size), "id long, elements array<long>").distinct(), "elements")
@@ -224,34 +237,32 @@ def near_dedup(docs: DataFrame, least: int = 85, size: int = 5, id_col: str = "d
     single = sets.select("id", F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("count"), F.min("id").alias("id")).where("count = 1")
     # an id with several texts has elements of all of them here, so nothing is known of a single one
     several = sets.groupBy("id").agg(F.count("*").alias("count")).where("count > 1").select("id")
-    own = saved(single.groupBy("id").agg(F.count("*").alias("own")).join(several, "id", "left_anti"), "own")
-    about = reps.select("id", "n", "s1", "s2").join(met.hint("merge"), "id").join(own.hint("merge"), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    rows = saved(members.select("key", "id").join(about.hint("merge"), "id").withColumn("comp", F.col("id")), "rows")
-    dropped(members, shared, own)
-    labels, checked = met.select("id", F.col("id").alias("comp")), []
-    for t in range(ROUNDS):
-        # any of the sets with the fewest elements of their own, which others are most likely to be near
-        rank = (-F.floor(20 * F.col("own") / F.col("n"))).alias("rank")
-        draw = F.struct(rank, (F.col("meets") if t == 0 else F.xxhash64("id", F.lit(t))).alias("draw"), "id", "n", "own", "s1", "s2", "comp")
-        pivots = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(draw).alias("p")).where("lo <> hi")
-        pivots = saved(pivots.select("key", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("id", "n", "own", "s1", "s2", "comp"))), "pivots")
-        near = _prefixed(rows, "a_", "key").join(pivots.hint("merge"), "key").where((F.col("a_comp") != F.col("b_comp")) & _may_link(least))
-        near = near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), _differ().alias("differ"), F.col("a_comp").alias("ca"), F.col("b_comp").alias("cb"))
-        best = _unchecked(near, checked).groupBy("a").agg(F.min(F.struct("differ", "b", "ca", "cb")).alias("m"))
-        pairs = saved(best.select("a", "m.b", "m.ca", "m.cb"), "pairs")
-        checked.append(pairs)
-        links = saved(_links(pairs, sets, least), "found")
-        if links.isEmpty():
-            dropped(pivots, links)
-            break
-        labels = _merged(labels, links)
-        # bands with one component are done with
-        now = saved(rows.drop("comp").join(pivots.select("key").hint("merge"), "key").join(labels.hint("merge"), "id"), "rows")
-        dropped(rows, pivots, links)
-        rows = now
-    links = _rest(rows, reps, sets, least, checked)
-    labels = _merged(labels, links)
-    dropped(rows, sets, links, *checked)
+    own = single.groupBy("id").agg(F.count("*").alias("own")).join(several, "id", "left_anti")
+    about = reps.select("id", "n", *SKETCH).join(met.hint("merge"), "id").join(own.hint("merge"), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    rows = saved(members.select("key", "band", "id").join(about.hint("merge"), "id").withColumn("comp", F.col("id")), "rows")
+    dropped(members, shared)
+    # a pivot is any of the sets with the fewest elements of their own, which others are most likely to be near
+    rank = (-F.floor(20 * F.col("own") / F.col("n"))).alias("rank")
+    pivots = rows.groupBy("key").agg(F.max(F.struct(rank, "meets", *_ABOUT)).alias("p"))
+    pivots = saved(pivots.select("key", *(F.col(f"p.{c}").alias(f"b_{c}") for c in _ABOUT)), "pivots")
+    near = _prefixed(rows, "a_", "key").join(pivots.hint("merge"), "key").where((F.col("a_comp") != F.col("b_comp")) & _may_link(least))
+    best = near.groupBy("a_id").agg(F.min(F.struct(_differ().alias("differ"), "b_id", "a_comp", "b_comp")).alias("m"))
+    checked = saved(best.select(F.col("a_id").alias("a"), F.col("m.b_id").alias("b"), F.col("m.a_comp").alias("ca"), F.col("m.b_comp").alias("cb")), "pairs")
+    links = saved(_links(checked, sets, least), "found")
+    merges = [_merges(links)]
+    dropped(pivots, links)
+    for first, last in RANGES:
+        # what is one component by now
+        rows, old = saved(_relabelled(rows, merges[-1]), "rows"), rows
+        dropped(old)
+        links = _across(rows.where(F.col("band").between(first, last - 1)), reps, sets, least, checked)
+        merges.append(_merges(links))
+        dropped(links)
+    labels = met.select("id", F.col("id").alias("comp"))
+    for made in merges:
+        labels = _relabelled(labels, made)
+    labels = saved(labels, "labels")
+    dropped(rows, sets, checked)
     labels = _same_ids(full, reps, labels)
     groups = reps.select("d1", "d2", "id").join(labels.hint("merge"), "id", "left").select("d1", "d2", F.coalesce("comp", "id").alias("component_id"))
     linked = full.select("doc_id", "n_shingles", "d1", "d2").join(groups.hint("merge"), ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
@@ -265,31 +276,23 @@ def _same_ids(full: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     of = saved(full.join(twice, "doc_id", "left_semi").join(reps.select("d1", "d2", "id"), ["d1", "d2"]).select("doc_id", "id").distinct(), "twice")
     labels = saved(labels.union(of.select("id", F.col("id").alias("comp")).join(labels, "id", "left_anti").distinct()), "labels")
     named = of.join(labels, "id")
-    return _merged(labels, named.join(named.groupBy("doc_id").agg(F.min("comp").alias("ca")), "doc_id").select("ca", F.col("comp").alias("cb")))
-
-
-def _unchecked(pairs: DataFrame, checked: list[DataFrame]) -> DataFrame:
-    """pairs without those that were compared before, either way round."""
-    if not checked:
-        return pairs
-    ways = [done.select(*(F.col(c).alias(to) for c, to in zip(way, "ab", strict=True))) for done in checked for way in (("a", "b"), ("b", "a"))]
-    return pairs.join(reduce(DataFrame.union, ways).hint("merge"), ["a", "b"], "left_anti")
+    return _relabelled(labels, _merges(named.join(named.groupBy("doc_id").agg(F.min("comp").alias("ca")), "doc_id").select("ca", F.col("comp").alias("cb"))))
 
 
-def _rest(rows: DataFrame, reps: DataFrame, sets: DataFrame, least: int, checked: list[DataFrame]) -> DataFrame:
-    """Links between sets that share a band but not yet a component."""
+def _across(rows: DataFrame, reps: DataFrame, sets: DataFrame, least: int, checked: DataFrame) -> DataFrame:
+    """Links between sets of different components that share one of the bands of rows and none before it."""
     by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("count"))
     split = by_comp.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
     split = saved(split.select("key", F.col("m.comp").alias("major")), "split")
-    before = F.expr("slice(bands, 1, CAST(array_position(bands, key) AS INT) - 1)")
+    before = F.expr("slice(bands, 1, band)")
     left = rows.drop("meets").join(split.hint("merge"), "key")
-    bands = _among(reps, "id", left.select("id")).select("id", "bands").hint("merge")
-    open_ = saved(left.join(bands, "id").withColumn("before", before).drop("bands"), "open")
+    open_ = saved(left.join(reps.select("id", "bands").hint("merge"), "id").withColumn("before", before).drop("bands"), "open")
     a, b = _prefixed(open_.where("comp <> major"), "a_", "key"), _prefixed(open_, "b_", "key")
     once = ((F.col("b_comp") == F.col("b_major")) | (F.col("a_id") < F.col("b_id"))) & ~F.arrays_overlap("a_before", "b_before")  # in the first band that they share
     pairs = a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("a_comp") != F.col("b_comp")) & once & _may_link(least))
     pairs = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_comp").alias("ca"), F.col("b_comp").alias("cb")).distinct()
-    found = saved(_links(saved(_unchecked(pairs, checked), "pairs"), sets, least), "found")
+    done = reduce(DataFrame.union, (checked.select(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("a", "b"), ("b", "a"))))
+    found = saved(_links(saved(pairs.join(done.hint("merge"), ["a", "b"], "left_anti"), "pairs"), sets, least), "found")
     dropped(split, open_)
     return found
 
