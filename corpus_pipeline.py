@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
-from tarn.llm.common import saved, table
+from tarn.llm.common import dropped, saved, table
 
 #: SQL can't express the first stage's classifier, so the stages are tested against brute force.
 ORACLE_SQL = None
@@ -29,7 +29,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as their rates have it: junk goes down to three hundredths of the tokens, clean documents stay.
 
-    The total is set by the clean domain, whose share is what it is now, so no clean text has to go.
+    The total is set by the clean domain, whose share is what it is now, so no clean text has to go; rates a little
+    over 1 count as 1, so the share of junk comes out near three hundredths, not at it (mixing.realised states it).
     """
     labelled = mixing.labels_as_domains(table(spark, sf_dir, "labels"), toxic=False)
     return mixing.mixed(docs, labelled, {"clean": 0.97, "junk": 0.03}, "clean")
@@ -51,7 +52,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written as Parquet and read back."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
