@@ -42,8 +42,8 @@ MARK = 0x2581
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 LONG = 256
-CACHE = 300_000
-SLICE = 1 << 20
+CACHE = 150_000
+SLICE = 1 << 19
 WINDOW = 1 << 16
 
 
@@ -288,7 +288,7 @@ class Pieces:
 
     def forget(self) -> None:
         """Start with no unit known."""
-        self.slots: dict[tuple[str, int], int] = {}  # by method and hash of a unit
+        self.slots: dict[str, dict[int, int]] = {"viterbi": {}, "merges": {}}  # by method and hash of a unit
         self.held = [[np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]]  # characters and ids of known units
         self.spans = np.zeros((0, 4), np.int64)  # of each: where its characters begin, how many, where its ids begin, how many
 
@@ -308,13 +308,14 @@ class Pieces:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(points))
         hashes, first, inverse = np.unique(W.span_hashes(points.view(np.uint8), 4 * starts, 4 * ends), return_index=True, return_inverse=True)
-        if len(self.slots) > CACHE:
+        if sum(map(len, self.slots.values())) > CACHE:
             self.forget()
-        new = np.array([k for k, h in enumerate(hashes.tolist()) if (method, h) not in self.slots], np.int64)
+        slots, listed = self.slots[method], hashes.tolist()
+        new = np.array([k for k, h in enumerate(listed) if h not in slots], np.int64)
+        known = len(self.spans)
         self._learn(points, starts[first[new]], ends[first[new]], method)
-        for k, h in enumerate(hashes[new].tolist()):
-            self.slots[method, h] = len(self.spans) - len(new) + k
-        slot = np.fromiter((self.slots[method, h] for h in hashes.tolist()), np.int64, len(hashes))[inverse]
+        slots.update(zip(hashes[new].tolist(), range(known, known + len(new)), strict=True))
+        slot = np.fromiter(map(slots.__getitem__, listed), np.int64, len(listed))[inverse]
         characters, ids = (x[0] if len(x) == 1 else np.concatenate(x) for x in self.held)
         self.held = [[characters], [ids]]
         at, size, to, count = self.spans[slot].T
@@ -335,12 +336,21 @@ class Pieces:
     def _learn(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, method: str) -> None:
         """Segment units and append them to those that are known, in the order given."""
         lengths = ends - starts
-        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(starts)
+        ids, counts, to = [np.zeros(0, np.int32)], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        held = sum(map(len, self.held[1]))
+
+        def append(units: np.ndarray, own: np.ndarray, each: np.ndarray) -> None:
+            nonlocal held
+            counts[units], to[units] = each, held + np.cumsum(each) - each
+            ids.append(own.astype(np.int32))
+            held += len(own)
+
         for n in np.unique(lengths).tolist():
             group = np.flatnonzero(lengths == n)
             if n > LONG:
                 for k in group.tolist():
-                    ids[k] = self._long_ids(points[starts[k] : ends[k]], method)
+                    own = self._long_ids(points[starts[k] : ends[k]], method)
+                    append(np.array([k]), own, np.array([len(own)]))
                 continue
             step = max(1, 2_000_000 // (n * min(n, self.longest)))
             for begin in range(0, len(group), step):
@@ -349,14 +359,12 @@ class Pieces:
                 found, scores = self.substrings(grid)
                 sizes = self.viterbi(scores) if method == "viterbi" else self.merges(scores)
                 row, at = np.nonzero(sizes)
-                own, counts = self._ids(grid.reshape(-1), row * n + at, found[sizes[row, at] - 1, row, at])
-                counts = np.bincount(row, weights=counts, minlength=len(part)).astype(np.int64)
-                for k, x in zip(part.tolist(), np.split(own.astype(np.int32), np.cumsum(counts)[:-1]), strict=True):
-                    ids[k] = x
-        counts, begin, held = np.array([len(x) for x in ids], np.int64), sum(map(len, self.held[0])), sum(map(len, self.held[1]))
-        self.spans = np.concatenate([self.spans, np.stack([begin + np.cumsum(lengths) - lengths, lengths, held + np.cumsum(counts) - counts, counts], axis=1)])
+                own, each = self._ids(grid.reshape(-1), row * n + at, found[sizes[row, at] - 1, row, at])
+                append(part, own, np.bincount(row, weights=each, minlength=len(part)).astype(np.int64))
+        begin = sum(map(len, self.held[0]))
+        self.spans = np.concatenate([self.spans, np.stack([begin + np.cumsum(lengths) - lengths, lengths, to, counts], axis=1)])
         self.held[0].append(points[_places(starts, lengths)])
-        self.held[1].append(np.concatenate([np.zeros(0, np.int32), *ids]))
+        self.held[1].append(np.concatenate(ids))
 
     def _long_ids(self, points: np.ndarray, method: str) -> np.ndarray:
         sizes = self.viterbi_long(points) if method == "viterbi" else self.merges_long(points)

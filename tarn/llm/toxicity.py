@@ -160,6 +160,24 @@ def _buckets(batches: Iterator[pa.RecordBatch], bits: int, of_use) -> Iterator[p
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.ListArray.from_arrays(pa.array(edges), pa.array(found.astype(np.int32)))], ["toxic", "buckets"])
 
 
+def _held(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """How many of a task's texts hold each bucket."""
+    total = np.zeros(size, np.int64)
+    for batch in batches:
+        total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=size)
+    there = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["bucket", "n"])
+
+
+def _held_by(rows: DataFrame, size: int) -> np.ndarray:
+    """How many of the rows hold each bucket; the driver sees `size` rows at most."""
+    few = rows.select("buckets").coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+    found = few.mapInArrow(partial(_held, size=size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
 def _columns(batches: Iterator[pa.RecordBatch], place) -> Iterator[pa.RecordBatch]:
     """The columns, in order, of lists of buckets."""
     for batch in batches:
@@ -198,8 +216,10 @@ def _graded(batches: Iterator[pa.RecordBatch], x) -> Iterator[pa.RecordBatch]:
 
 def _summed(texts: DataFrame, work, x: np.ndarray, size: int) -> np.ndarray:
     """What `work` adds up in each task over the texts, added up over all tasks."""
-    out, shared = np.zeros(size), texts.sparkSession.sparkContext.broadcast(x)
-    for r in texts.mapInArrow(partial(work, x=shared), "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).collect():
+    context = texts.sparkSession.sparkContext
+    out, shared = np.zeros(size), context.broadcast(x)
+    few = texts.coalesce(max(1, context.defaultParallelism))  # each task gives a row for each place, however few its texts
+    for r in few.mapInArrow(partial(work, x=shared), "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).collect():
         out[r["at"]] = r["sum"]
     shared.destroy()
     return out
@@ -218,17 +238,14 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     schema = "toxic int, buckets array<int>"
     confirmed = saved(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(partial(_buckets, bits=bits, of_use=None), schema), "positives")
     size = 1 << bits
-    p = np.zeros(size)
-    for r in confirmed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).collect():  # 1 << bits rows at most
-        p[r["bucket"]] = r["n"]
+    p = _held_by(confirmed, size)
+    p[p < LEAST] = 0
     n = confirmed.count()
     if not n:
         return Model(np.zeros(size), -500.0)
     of_use = spark.sparkContext.broadcast(np.packbits(p > 0))
     rows = saved(texts.select(F.lit(0).alias("toxic"), "text").mapInArrow(partial(_buckets, bits=bits, of_use=of_use), schema), "unlabelled")
-    u, m = np.zeros(size), rows.count()
-    for r in rows.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect():
-        u[r["bucket"]] = r["n"]
+    u, m = _held_by(rows, size), rows.count()
     columns = np.flatnonzero(telling(p, u, n, m)).astype(np.int32)
     if not len(columns):
         return Model(np.zeros(size), -500.0)
