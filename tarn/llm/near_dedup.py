@@ -194,7 +194,7 @@ def _among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have a similarity of least percent or more."""
-    used = _among(sets, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    used = _among(sets, "id", pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     x, y = (used.select(F.col("id").alias(c), F.col("elements").alias(name)) for c, name in (("a", "x"), ("b", "y")))
     both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
